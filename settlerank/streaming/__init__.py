@@ -1,0 +1 @@
+"""Kept empty: the analytics are batch only and define no streaming behaviour."""
