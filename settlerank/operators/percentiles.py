@@ -36,10 +36,9 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
         (F.sum("_size").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, 0))
          - F.col("_size")).alias("_before"))
 
-    def wanted(p: float):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        return F.struct(F.lit(float(p)).alias("p"), pos.alias("pos"), F.floor(pos).alias("low"),
-                        F.ceil(pos).alias("high"))
+    def wanted(p):
+        pos = p * (F.col("n") - 1)
+        return F.struct(p.alias("p"), pos.alias("pos"), F.floor(pos).alias("low"), F.ceil(pos).alias("high"))
 
     def inside(position, start, stop):
         return (position >= start) & (position < stop)
@@ -47,7 +46,7 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     def hits(start, stop):
         return F.filter("_wanted", lambda w: inside(w["low"], start, stop) | inside(w["high"], start, stop))
 
-    spans = spans.withColumn("_wanted", F.array(*[wanted(p) for p in probs]))
+    spans = spans.withColumn("_wanted", F.transform(F.lit([float(p) for p in probs]), wanted))
     spans = spans.withColumn("_wanted", hits(F.col("_before"), F.col("_before") + F.col("_size")))
     needed = placed.join(spans.where(F.size("_wanted") > 0), by + ["_range"])
     within = W.partitionBy(*by, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)

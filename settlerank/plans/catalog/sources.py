@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from settlerank.config import FIRST_GENERATION, from_environment
 from settlerank.functions import capacity_penalty
 from settlerank.operators import checks, ranking, stats
-from settlerank.plans.flow import SalesFlow
+from settlerank.plans.flow import flow_of
 from settlerank.plans.registry import query
 from settlerank.plans.twins import twin
 from settlerank.schemas import CAPACITY
@@ -78,7 +78,7 @@ def lower_headers(spark, sf):
     SELECT business, support FROM stats WHERE support >= 920""", "stats"))
 def configured_pool(spark, sf):
     settings = from_environment(FIRST_GENERATION, {"SETTLERANK_MIN_SUPPORT": "920"})
-    flow = SalesFlow(spark, sf, settings)
+    flow = flow_of(spark, sf, settings)
     return stats.support_pool(stats.business_support(flow.train), settings.min_support)
 
 
@@ -109,7 +109,7 @@ def markup_rows(spark, sf):
     SELECT node_id, rank, business, round(pred_cost, 2) AS pred_cost, round(pred_profit, 2) AS pred_profit,
            CAST(pred_profit > 0 AS INT) AS profit_positive FROM rec_off""", "rec_off"))
 def csv_sink(spark, sf):
-    recs = SalesFlow(spark, sf).recs("score_off")
+    recs = flow_of(spark, sf).recs("score_off")
     df = files.read_csv(spark, files.write_csv(recs, stage_path(spark, "recs_csv")))
     return df.select("node_id", F.col("rank").cast("int").alias("rank"), "business",
                      *[F.col(c).cast("double").alias(c) for c in ("pred_cost", "pred_profit")],
@@ -119,7 +119,7 @@ def csv_sink(spark, sf):
 @query("q_s09_metrics_json", twin("""
     SELECT count(*) AS test_nodes, round(avg(true_value), 4) AS mean_true_value FROM truth""", "truth"))
 def metrics_json(spark, sf):
-    metrics = SalesFlow(spark, sf).truth.agg(F.struct(
+    metrics = flow_of(spark, sf).truth.agg(F.struct(
         F.count("*").alias("nodes"), F.avg("true_value").alias("mean_value")).alias("test"))
     path = files.write_metrics_json(metrics, stage_path(spark, "metrics_json"))
     back = spark.read.schema("test struct<nodes: bigint, mean_value: double>").json(path)
@@ -131,7 +131,7 @@ def metrics_json(spark, sf):
     SELECT business, count(*) AS n_nodes FROM rec_off WHERE rank = 1 GROUP BY 1 ORDER BY n_nodes DESC, business
     LIMIT 12""", "rec_off"))
 def stage_table(spark, sf):
-    path = files.write_parquet(SalesFlow(spark, sf).recs("score_off"), stage_path(spark, "recs"), ["rank"])
+    path = files.write_parquet(flow_of(spark, sf).recs("score_off"), stage_path(spark, "recs"), ["rank"])
     return ranking.top_businesses(files.read_parquet(spark, path).where("rank = 1"))
 
 

@@ -1,7 +1,8 @@
 """The stages every recommendation plan shares: ledger, split, statistics, pool, truth, similarity.
 
-Each stage is a DataFrame. Tables that several later stages read are stored once through a reliable
-checkpoint in the shared folder, so the fact tables are scanned once per plan.
+Each stage is a DataFrame. Tables that several later stages read are stored once as a
+stage table in the shared folder, so the fact tables are scanned once per plan. Plans of one application
+hand these tables over to each other, as batch stages do; ``forget_flows`` starts afresh.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class SalesFlow:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return tables.ledger_totals(self.spark, self.sf_dir)
+        return cut_lineage(tables.ledger_totals(self.spark, self.sf_dir))
 
     @cached_property
     def attrs(self) -> DataFrame:
@@ -49,7 +50,7 @@ class SalesFlow:
 
     @cached_property
     def sided(self) -> DataFrame:
-        return split.with_side(self.frame, self.split)
+        return cut_lineage(split.with_side(self.frame, self.split))
 
     @cached_property
     def train(self) -> DataFrame:
@@ -90,6 +91,9 @@ class SalesFlow:
 
     @cached_property
     def predicted(self) -> DataFrame:
+        return cut_lineage(self._predicted())
+
+    def _predicted(self) -> DataFrame:
         """Own pairs with surrogate predictions: the segment mean, with the business mean as one more row."""
         own = self.sided.select("node_id", "business", "is_test", "cum_cost_7d", "cum_profit_7d")
         return self.predict(own)
@@ -172,3 +176,18 @@ class SalesFlow:
         pairs = candidates.candidate_pairs(self.near, self.train, candidates.run_history(self.frame), self.pool)
         fallback = candidates.fallback_businesses(self.pool)
         return candidates.with_fallback(self.split, pairs, fallback)
+
+
+_FLOWS: dict[tuple, SalesFlow] = {}
+
+
+def flow_of(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> SalesFlow:
+    """The flow of this application over these inputs; its stored stages serve every plan that asks."""
+    key = (spark.sparkContext.applicationId, sf_dir, settings)
+    if key not in _FLOWS:
+        _FLOWS[key] = SalesFlow(spark, sf_dir, settings)
+    return _FLOWS[key]
+
+
+def forget_flows() -> None:
+    _FLOWS.clear()
