@@ -205,4 +205,5 @@ def twin(select: str, *names: str) -> str:
 
     for name in names:
         add(name)
+    select = select.lstrip()       # a select that starts with a comma adds expressions of its own
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + select
