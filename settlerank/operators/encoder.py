@@ -52,7 +52,8 @@ class AttributeEncoder:
         knots: dict[str, np.ndarray] = {}
         if nums:
             rows = exact_percentiles(long_values(cleaned, nums), ["field"], "value", [0.5]).collect()
-            medians = {r["field"]: r["value"] for r in rows}          # a column without values is left out
+            found = {r["field"]: r["value"] for r in rows}
+            medians = {c: found[c] for c in nums if c in found}       # a column without values is left out
             n = attrs.count()
             filled = cleaned.select(*[F.coalesce(c, F.lit(medians[c])).alias(c) for c in medians])
             probs = list(np.linspace(0, 1, max(1, min(self.n_quantiles, n))))

@@ -207,6 +207,22 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = C
     return result.select(*keep, "node_id", "neighbour_id", "similarity", "rank")
 
 
+def pair_similarity(pairs: DataFrame, space: CosineSpace = CosineSpace()) -> DataFrame:
+    """Similarity of given pairs (a_codes, a_numbers, b_codes, b_numbers) with built-in expressions only."""
+    width = F.size("a_codes")
+    same = F.size(F.filter(F.zip_with("a_codes", "b_codes", lambda a, b: a == b), lambda x: x))
+    dot = F.aggregate(F.zip_with("a_numbers", "b_numbers", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    base = F.when(width > 0, F.lit(space.cat_weight)).otherwise(F.lit(0.0))
+
+    def length(numbers):
+        filled = F.exists(numbers, lambda x: x != 0)
+        return F.sqrt(base + F.when(filled, F.lit(space.num_weight)).otherwise(F.lit(0.0)))
+
+    raw = base * F.coalesce(F.try_divide(same, width), F.lit(0.0)) + F.lit(space.num_weight) * dot
+    value = F.coalesce(F.try_divide(raw, length("a_numbers") * length("b_numbers")), F.lit(0.0))
+    return pairs.withColumn("similarity", F.round(value, DIGITS))
+
+
 def dense_vectors(df: DataFrame, ident: str, vector: str) -> DataFrame:
     """Plain vectors in the same layout: no categories, unit length, in double precision."""
     numbers = F.transform(vector, lambda x: x.cast("double"))
