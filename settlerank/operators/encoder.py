@@ -24,7 +24,7 @@ def rare_values(attrs: DataFrame, cats: Sequence[str], min_count: int = 2) -> Da
             .agg(F.count("*").alias("n")).where(F.col("n") < min_count).select("field", "value"))
 
 
-def fold_rare(attrs: DataFrame, cats: Sequence[str], rare: DataFrame) -> DataFrame:
+def fold_rare(attrs: DataFrame, cats: Sequence[str], rare: DataFrame | None) -> DataFrame:
     """Replace rare values by one common token per column; joins are on values that occur once."""
     out = attrs
     for c in cats:
@@ -61,7 +61,8 @@ class AttributeEncoder:
             for c in medians:
                 points = sorted((r["p"], r["value"]) for r in rows if r["field"] == c)
                 knots[c] = np.maximum.accumulate(np.array([v for _, v in points]))
-        return EncoderModel(cats, list(medians), medians, knots, rare_values(attrs, cats, self.min_count))
+        rare = rare_values(attrs, cats, self.min_count) if cats else None
+        return EncoderModel(cats, list(medians), medians, knots, rare)
 
 
 @dataclass
@@ -70,7 +71,7 @@ class EncoderModel:
     nums: list[str]
     medians: dict[str, float]
     knots: dict[str, np.ndarray]
-    rare: DataFrame
+    rare: DataFrame | None
 
     def quantile_positions(self, attrs: DataFrame) -> DataFrame:
         """Each number as its position in [0, 1]: the middle of its tie range, the ends at 0 and 1."""
