@@ -51,13 +51,14 @@ class AttributeEncoder:
         medians: dict[str, float] = {}
         knots: dict[str, np.ndarray] = {}
         if nums:
-            rows = exact_percentiles(long_values(cleaned, nums), ["field"], "value", [0.5]).collect()
+            n = attrs.count()
+            rows = exact_percentiles(long_values(cleaned, nums), ["field"], "value", [0.5], rows=n).collect()
             found = {r["field"]: r["value"] for r in rows}
             medians = {c: found[c] for c in nums if c in found}       # a column without values is left out
-            n = attrs.count()
             filled = cleaned.select(*[F.coalesce(c, F.lit(medians[c])).alias(c) for c in medians])
             probs = list(np.linspace(0, 1, max(1, min(self.n_quantiles, n))))
-            rows = exact_percentiles(long_values(filled, list(medians)), ["field"], "value", probs).collect()
+            rows = exact_percentiles(long_values(filled, list(medians)), ["field"], "value", probs,
+                                     rows=n).collect()
             for c in medians:
                 points = sorted((r["p"], r["value"]) for r in rows if r["field"] == c)
                 knots[c] = np.maximum.accumulate(np.array([v for _, v in points]))

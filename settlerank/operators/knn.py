@@ -40,14 +40,25 @@ class CosineSpace:
     num_weight: float = 0.35
 
     def similarity(self, a: "Block", b: "Block") -> np.ndarray:
+        """All similarities of two blocks whose category codes share one numbering."""
         width = a.codes.shape[1]
         base = self.cat_weight if width else 0.0
-        out = self.num_weight * (a.numbers @ b.numbers.T)
-        for j in range(width):
-            left, right = _shared_codes(a.codes[:, j], b.codes[:, j])
-            out += (base / width) * (left[:, None] == right[None, :])
-        norms = np.outer(self.length(a, base), self.length(b, base))
-        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+        sizes = np.maximum(a.codes.max(axis=0, initial=-1), b.codes.max(axis=0, initial=-1)) + 1
+        if width and sizes.sum() <= 256:        # few categories: one product of one-hot and number columns
+            left, right = (np.hstack([x.one_hot(sizes, np.sqrt(base / width)), np.sqrt(self.num_weight) * x.numbers])
+                           for x in (a, b))
+            out = left @ right.T
+        else:
+            out = self.num_weight * (a.numbers @ b.numbers.T)
+            for j in range(width):
+                out += (base / width) * (a.codes[:, j][:, None] == b.codes[:, j][None, :])
+        out *= self.inverse_length(a, base)[:, None]
+        out *= self.inverse_length(b, base)[None, :]
+        return out
+
+    def inverse_length(self, block: "Block", base: float) -> np.ndarray:
+        length = self.length(block, base)
+        return np.divide(1.0, length, out=np.zeros_like(length), where=length > 0)
 
     def length(self, block: "Block", base: float) -> np.ndarray:
         return np.sqrt(base + self.num_weight * (np.square(block.numbers).sum(axis=1) > 0))
@@ -60,34 +71,49 @@ class CosineSpace:
 
 @dataclass
 class Block:
-    codes: np.ndarray
+    codes: np.ndarray       # numbered categories
     numbers: np.ndarray
 
     @classmethod
-    def of(cls, frame: pd.DataFrame) -> "Block":
-        n = len(frame)
-        codes = np.array([list(c) for c in frame["codes"]], dtype=object).reshape(n, -1)
-        numbers = np.array([list(x) for x in frame["numbers"]], dtype=float).reshape(n, -1)
-        return cls(codes, numbers)
+    def of(cls, *frames: pd.DataFrame) -> list["Block"]:
+        """Blocks of several frames with one common numbering of each category column."""
+        codes = [_matrix(f["codes"], object) for f in frames]
+        width, ends = codes[0].shape[1], np.cumsum([len(f) for f in frames])
+        both = np.concatenate([c.reshape(len(f), width) for c, f in zip(codes, frames)])
+        coded = np.empty(both.shape, dtype=np.int64)
+        for j in range(width):
+            coded[:, j] = pd.factorize(both[:, j])[0]
+        parts = np.split(coded, ends[:-1])
+        return [cls(c, _matrix(f["numbers"], float)) for c, f in zip(parts, frames)]
 
     def rows(self, start: int, stop: int) -> "Block":
         return Block(self.codes[start:stop], self.numbers[start:stop])
 
+    def one_hot(self, sizes: np.ndarray, value: float) -> np.ndarray:
+        out = np.zeros((len(self.codes), int(sizes.sum())))
+        for j, start in enumerate(np.cumsum(sizes) - sizes):
+            out[np.arange(len(out)), start + self.codes[:, j]] = value
+        return out
+
 
-def _shared_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both, _ = pd.factorize(np.concatenate([left, right]))
-    return both[:len(left)], both[len(left):]
+def _matrix(column: pd.Series, dtype) -> np.ndarray:
+    rows = column.to_numpy()
+    return np.array(rows.tolist(), dtype=dtype).reshape(len(rows), -1) if len(rows) else np.empty((0, 0), dtype=dtype)
 
 
-def best_in_block(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest values per row; equal values go to the smaller column."""
+def best_in_block(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the k largest rounded values per row; equal values go to the smaller column.
+
+    Everything within one rounding step of the k-th value is kept until it has been rounded.
+    """
     n = sims.shape[1]
     floor = np.partition(sims, n - k, axis=1)[:, n - k] if n > k else np.full(len(sims), -np.inf)
-    rows, cols = np.nonzero(sims >= floor[:, None])
-    order = np.lexsort((cols, -sims[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    return rows[place < k], cols[place < k]
+    rows, cols = np.nonzero(sims >= floor[:, None] - 10.0 ** -DIGITS)
+    values = np.round(sims[rows, cols], DIGITS)
+    order = np.lexsort((cols, -values, rows))
+    rows, cols, values = rows[order], cols[order], values[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[kept], cols[kept], values[kept]
 
 
 def _profiles(vectors: DataFrame, group: str | None) -> DataFrame:
@@ -96,7 +122,7 @@ def _profiles(vectors: DataFrame, group: str | None) -> DataFrame:
                           F.md5(F.to_json(F.struct("codes", "numbers"))).alias("profile"))
 
 
-def _to_pivots(df: DataFrame, pivots: Block, space: CosineSpace, all_pivots: bool) -> DataFrame:
+def _to_pivots(df: DataFrame, pivots: pd.DataFrame, space: CosineSpace, all_pivots: bool) -> DataFrame:
     """Add the nearest pivot and its distance, or the distances to all pivots."""
     extra = "dists array<double>" if all_pivots else "cell int, dist double"
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + extra
@@ -105,7 +131,7 @@ def _to_pivots(df: DataFrame, pivots: Block, space: CosineSpace, all_pivots: boo
         for batch in batches:
             if not len(batch):
                 continue
-            d = space.distance(Block.of(batch), pivots)
+            d = space.distance(*Block.of(batch, pivots))
             if all_pivots:
                 yield batch.assign(dists=list(d))
             else:
@@ -135,7 +161,7 @@ def _kth_distance(placed: DataFrame, k: int) -> DataFrame:
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = CosineSpace(),
             group: str | None = None, exclude_self: bool = False, n_cells: int | None = None,
-            query_chunk: int = 2048, train_chunk: int = 16384) -> DataFrame:
+            query_chunk: int | None = None, train_chunk: int = 16384) -> DataFrame:
     """(group?, node_id, neighbour_id, similarity, rank) for the k most similar training rows of each query.
 
     Both inputs have node_id, codes and numbers. With ``group`` neighbours are sought inside the same
@@ -147,14 +173,19 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = C
     reps = cut_lineage(reps)
     points = cut_lineage(asked.groupBy("grp", "profile").agg(F.first("codes").alias("codes"),
                                                              F.first("numbers").alias("numbers")))
-    n_cells = n_cells or int(min(256, max(1, reps.count() // 16384)))
+    if n_cells is None:
+        largest = reps.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+        n_cells = int(min(256, max(1, largest // 16384)))
+    if query_chunk is None:                     # bounded, and enough chunks to keep every core busy
+        spread = points.count() // (4 * queries.sparkSession.sparkContext.defaultParallelism)
+        query_chunk = int(min(4096, max(256, spread)))
 
     if n_cells == 1:
         placed = points.withColumn("cell", F.lit(0))
         sent = reps.withColumn("cell", F.lit(0))
     else:
         sample = reps.orderBy(F.md5("node_id"), "node_id", "grp").limit(n_cells).toPandas()   # fixed-size
-        pivots = Block.of(sample)
+        pivots = sample[["codes", "numbers"]]
         placed = _to_pivots(points, pivots, space, all_pivots=False)
         far = _to_pivots(reps, pivots, space, all_pivots=True)
         reach = placed.groupBy("grp", "cell").agg(F.max("dist").alias("reach"))
@@ -187,12 +218,11 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = C
             return pd.DataFrame(columns=columns)
         train_part = train_part.sort_values("node_id", kind="stable")
         ids, names = train_part["node_id"].to_numpy(), asked_part["profile"].to_numpy()
-        b, a, out = Block.of(train_part), Block.of(asked_part), []
+        (a, b), out = Block.of(asked_part, train_part), []
         for start in range(0, len(names), 256):
-            sims = np.round(space.similarity(a.rows(start, start + 256), b), DIGITS)
-            rows, cols = best_in_block(sims, depth)
+            rows, cols, values = best_in_block(space.similarity(a.rows(start, start + 256), b), depth)
             out.append(pd.DataFrame({"grp": key[0], "profile": names[start + rows], "neighbour_id": ids[cols],
-                                     "similarity": sims[rows, cols]}))
+                                     "similarity": values}))
         return pd.concat(out)[columns]
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(

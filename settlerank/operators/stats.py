@@ -16,13 +16,16 @@ def business_support(ledger: DataFrame) -> DataFrame:
     return pairs.groupBy("business").agg(F.count("*").alias("support"))
 
 
-def business_stats(train: DataFrame, gate_percentile: float = 0.1) -> DataFrame:
-    """Mean and p90 cost, mean and low-percentile profit, distinct-node support and their logs."""
+def business_stats(train: DataFrame, gate_percentile: float = 0.1, rows: int | None = None) -> DataFrame:
+    """Mean and p90 cost, mean and low-percentile profit, distinct-node support and their logs.
+
+    ``rows`` is the counted size of the ledger, when the caller knows it.
+    """
     train = train.where(F.col("business").isNotNull())
     means = train.groupBy("business").agg(F.avg("cum_cost_7d").alias("cost_mean"),
                                           F.avg("cum_profit_7d").alias("profit_mean"))
     amounts = long_values(train, ["cum_cost_7d", "cum_profit_7d"], ["business"])
-    points = exact_percentiles(amounts, ["business", "field"], "value", [0.9, gate_percentile])
+    points = exact_percentiles(amounts, ["business", "field"], "value", [0.9, gate_percentile], rows=rows)
 
     def point(field: str, p: float):
         return F.max(F.when((F.col("field") == field) & (F.col("p") == F.lit(p)), F.col("value")))

@@ -63,7 +63,7 @@ class SalesFlow:
     @cached_property
     def stats(self) -> DataFrame:
         """One row per business; stored because pool, priors and features all read it."""
-        return cut_lineage(stats.business_stats(self.train))
+        return cut_lineage(stats.business_stats(self.train, rows=self.sided.count()))
 
     @cached_property
     def pool(self) -> DataFrame:

@@ -64,5 +64,6 @@ def test_clustered_vectors_are_pruned_and_exact(spark):
 
 def test_best_in_block_breaks_ties_by_column():
     sims = np.array([[0.5, 0.9, 0.9, 0.9], [0.1, 0.1, 0.1, 0.1]])
-    rows, cols = knn.best_in_block(sims, 2)
+    rows, cols, values = knn.best_in_block(sims, 2)
     assert list(zip(rows, cols)) == [(0, 1), (0, 2), (1, 0), (1, 1)]
+    assert list(values) == [0.9, 0.9, 0.1, 0.1]
