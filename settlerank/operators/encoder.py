@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from settlerank.fixed_values import CAT_COLS, NUM_COLS, UNKNOWN
+from settlerank.fixed_values import CAT_COLS, NUM_COLS
 from settlerank.functions import known, no_nan, positive_or_null
+from settlerank.operators.knn import unit_length
 from settlerank.operators.percentiles import exact_percentiles, long_values
 
 RARE = "__RARE__"
@@ -99,9 +100,6 @@ class EncoderModel:
                                                    self.rare))
         codes = F.array(*[F.col(c) for c in self.cats]) if self.cats else F.array().cast("array<string>")
         raw = F.array(*[F.col(c) for c in self.nums]) if self.nums else F.array().cast("array<double>")
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        unit = F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-        return placed.select("node_id", codes.alias("codes"), unit.alias("numbers"))
+        return unit_length(placed.select("node_id", codes.alias("codes"), raw.alias("numbers")))
 
 
-__all__ = ["AttributeEncoder", "EncoderModel", "rare_values", "fold_rare", "RARE", "UNKNOWN"]

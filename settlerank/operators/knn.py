@@ -19,17 +19,21 @@ go to the smaller id.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlerank.operators.ranking import top_k
 from settlerank.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need no copy of the package
+
 SLACK = 1e-6
 DIGITS = 9
 
@@ -253,10 +257,16 @@ def pair_similarity(pairs: DataFrame, space: CosineSpace = CosineSpace()) -> Dat
     return pairs.withColumn("similarity", F.round(value, DIGITS))
 
 
+def unit_length(vectors: DataFrame) -> DataFrame:
+    """Scale ``numbers`` to length one; a zero vector stays. The length is computed once per row."""
+    squares = F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x * x)
+    scaled = F.transform("numbers", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(F.lit(0.0)))
+    return vectors.withColumn("_length", F.sqrt(squares)).withColumn("numbers", scaled).drop("_length")
+
+
 def dense_vectors(df: DataFrame, ident: str, vector: str) -> DataFrame:
     """Plain vectors in the same layout: no categories, unit length, in double precision."""
-    numbers = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x * x))
-    return df.where(F.col(vector).isNotNull()).select(
+    rows = df.where(F.col(vector).isNotNull()).select(
         F.col(ident).cast("string").alias("node_id"), F.array().cast("array<string>").alias("codes"),
-        F.transform(numbers, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))).alias("numbers"))
+        F.transform(vector, lambda x: x.cast("double")).alias("numbers"))
+    return unit_length(rows)

@@ -70,7 +70,7 @@ def j06(spark, sf):
 
 
 @query("q_j07_lookup_with_default", twin("""
-    SELECT node_id, business, coalesce(capacity_upper_mbps, 0) > 0 AS has_capacity,
+    SELECT node_id, business, CAST(coalesce(capacity_upper_mbps, 0) > 0 AS INT) AS has_capacity,
            round(coalesce(peak_mbps, 0), 2) AS peak_mbps
     FROM totals LEFT JOIN (SELECT * FROM capacity WHERE over_capacity_mbps = 0) c USING (business)
     LEFT JOIN (SELECT * FROM peaks WHERE peak_mbps > 30) p USING (node_id, business)""",
@@ -80,7 +80,7 @@ def j07(spark, sf):
     cap = flow.capacity.where("over_capacity_mbps = 0").select("business", "capacity_upper_mbps")
     peaks = flow.peaks.where("peak_mbps > 30")
     return (flow.totals.join(cap, "business", "left").join(peaks, ["node_id", "business"], "left")
-            .select("node_id", "business", (F.coalesce("capacity_upper_mbps", F.lit(0.0)) > 0).alias("has_capacity"),
+            .select("node_id", "business", (F.coalesce("capacity_upper_mbps", F.lit(0.0)) > 0).cast("int").alias("has_capacity"),
                     F.round(F.coalesce("peak_mbps", F.lit(0.0)), 2).alias("peak_mbps")))
 
 

@@ -87,7 +87,7 @@ def configured_pool(spark, sf):
     FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22' GROUP BY 1""")
 def settlement_scan(spark, sf):
     events = tables.table(spark, sf, "events").where(
-        (F.col("ts") >= F.lit("2024-01-08").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-22").cast("timestamp")))
+        (F.col("ts") >= F.lit("2024-01-08").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-22").cast("timestamp_ntz")))
     return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("revenue"))
 

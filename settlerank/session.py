@@ -26,6 +26,9 @@ def local_session(cores: str | int = "*", app_name: str = "settlerank", **conf:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a local session without one gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,9 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="settlerank-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.TemporaryDirectory(prefix="settlerank-")     # gone when the process ends
+    return _LOCAL_FOLDERS[app].name
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
