@@ -19,10 +19,18 @@ def run_history(ledger: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(neighbours: DataFrame, train: DataFrame, history: DataFrame, pool: DataFrame,
-                    gated: DataFrame | None = None) -> DataFrame:
-    """Businesses of the neighbours, united with the node's own, inside the pool and outside the gate."""
+                    gated: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """Businesses of the neighbours, united with the node's own, inside the pool and outside the gate.
+
+    With ``members`` (node_id, profile_id) the neighbours are those of profiles: their businesses are made
+    distinct per profile first and then handed to the profile's nodes.
+    """
     own = history.select("node_id", "business")
-    pairs = neighbour_ledger(neighbours, train).select("node_id", "business").unionByName(own).distinct()
+    seen = neighbour_ledger(neighbours, train).select("node_id", "business")
+    if members is not None:
+        per_profile = seen.distinct().withColumnRenamed("node_id", "profile_id")
+        seen = members.join(per_profile, "profile_id").select("node_id", "business")
+    pairs = seen.unionByName(own).distinct()
     pairs = pairs.join(pool.select("business"), "business", "left_semi").select("node_id", "business")
     return pairs if gated is None else pairs.join(gated, "business", "left_anti").select("node_id", "business")
 
@@ -45,11 +53,14 @@ def with_fallback(nodes: DataFrame, pairs: DataFrame, fallback: DataFrame, skip:
     return own.unionByName(filled)
 
 
-def candidate_profile(candidates: DataFrame, neighbours: DataFrame, train: DataFrame, split: DataFrame) -> DataFrame:
+def candidate_profile(candidates: DataFrame, neighbours: DataFrame, train: DataFrame, split: DataFrame,
+                      members: DataFrame | None = None) -> DataFrame:
     """Per node: number of candidates, fallback flag, distinct businesses among the neighbours."""
     counts = candidates.groupBy("node_id").agg(F.count("*").alias("n_cand"), F.max("is_fallback").alias("fallback"))
     seen = neighbour_ledger(neighbours, train).select("node_id", "business").distinct().groupBy("node_id").agg(
         F.count("*").alias("n_neigh_biz"))
+    if members is not None:
+        seen = members.join(seen.withColumnRenamed("node_id", "profile_id"), "profile_id").drop("profile_id")
     return (counts.join(seen, "node_id", "left").join(split.select("node_id", "is_test"), "node_id", "left")
             .select("node_id", share_flag(F.col("is_test")).alias("is_test"), "n_cand", "fallback",
                     F.coalesce("n_neigh_biz", F.lit(0)).alias("n_neigh_biz")))

@@ -18,21 +18,25 @@ from settlerank.operators.percentiles import exact_percentiles, long_values
 RARE = "__RARE__"
 
 
-def rare_values(attrs: DataFrame, cats: Sequence[str], min_count: int = 2) -> DataFrame:
-    """(field, value) pairs seen fewer than ``min_count`` times. Counting combines before the shuffle."""
+def rare_values(attrs: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """(node_id, rare): the columns in which a node holds a value that nobody else has.
+
+    Counting combines before the shuffle. A value seen once belongs to one node, so the outcome is keyed by
+    node and no later join meets a hot category.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), known(c).alias("value")) for c in cats])
-    return (attrs.select(F.explode(pairs).alias("x")).groupBy("x.field", "x.value")
-            .agg(F.count("*").alias("n")).where(F.col("n") < min_count).select("field", "value"))
+    single = (attrs.select("node_id", F.explode(pairs).alias("x")).groupBy("x.field", "x.value")
+              .agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).where(F.col("n") == 1))
+    return single.groupBy("node_id").agg(F.collect_list("field").alias("rare"))
 
 
 def fold_rare(attrs: DataFrame, cats: Sequence[str], rare: DataFrame | None) -> DataFrame:
-    """Replace rare values by one common token per column; joins are on values that occur once."""
-    out = attrs
-    for c in cats:
-        single = rare.where(F.col("field") == c).select(F.col("value").alias(c), F.lit(True).alias("_rare"))
-        out = out.withColumn(c, known(c)).join(single, c, "left")
-        out = out.withColumn(c, F.when(F.col("_rare"), F.lit(RARE)).otherwise(F.col(c))).drop("_rare")
-    return out
+    """Replace values seen once by one common token per column."""
+    if rare is None:
+        return attrs
+    joined = attrs.join(rare, "node_id", "left")
+    folded = [F.when(F.array_contains("rare", c), F.lit(RARE)).otherwise(known(c)).alias(c) for c in cats]
+    return joined.select(*[c for c in attrs.columns if c not in cats], *folded)
 
 
 @dataclass
@@ -42,7 +46,6 @@ class AttributeEncoder:
     cats: Sequence[str] = tuple(CAT_COLS)
     nums: Sequence[str] = tuple(NUM_COLS)
     n_quantiles: int = 500
-    min_count: int = 2
 
     def fit(self, attrs: DataFrame) -> "EncoderModel":
         cats = [c for c in self.cats if c in attrs.columns]
@@ -63,7 +66,7 @@ class AttributeEncoder:
             for c in medians:
                 points = sorted((r["p"], r["value"]) for r in rows if r["field"] == c)
                 knots[c] = np.maximum.accumulate(np.array([v for _, v in points]))
-        rare = rare_values(attrs, cats, self.min_count) if cats else None
+        rare = rare_values(attrs, cats) if cats else None
         return EncoderModel(cats, list(medians), medians, knots, rare)
 
 

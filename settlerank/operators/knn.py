@@ -204,6 +204,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = C
     sizes_q = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / query_chunk).cast("int").alias("q_parts"))
     sizes_t = sent.groupBy("grp", "cell").agg(F.ceil(F.count("*") / train_chunk).cast("int").alias("t_parts"))
     parts = sizes_q.join(sizes_t, ["grp", "cell"])
+    parts = F.broadcast(parts) if group is None else parts          # at most n_cells rows without groups
 
     def numbered(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -241,6 +242,18 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = C
     return result.select(*keep, "node_id", "neighbour_id", "similarity", "rank")
 
 
+def shared_profiles(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, profiles): node_id to profile_id, and one vector per distinct profile with that id as node_id.
+
+    Equal vectors have the same neighbours, so later joins can work per profile and widen to nodes at the end.
+    """
+    keyed = vectors.select("node_id", "codes", "numbers",
+                           F.md5(F.to_json(F.struct("codes", "numbers"))).alias("profile_id"))
+    profiles = keyed.groupBy(F.col("profile_id").alias("node_id")).agg(F.first("codes").alias("codes"),
+                                                                       F.first("numbers").alias("numbers"))
+    return keyed.select("node_id", "profile_id"), profiles
+
+
 def pair_similarity(pairs: DataFrame, space: CosineSpace = CosineSpace()) -> DataFrame:
     """Similarity of given pairs (a_codes, a_numbers, b_codes, b_numbers) with built-in expressions only."""
     width = F.size("a_codes")

@@ -239,7 +239,8 @@ def a22(spark, sf):
                                        "cand", "near", "train", "split"))
 def a23(spark, sf):
     flow = flow_of(spark, sf)
-    return candidates.profile_summary(candidates.candidate_profile(flow.candidates, flow.near, flow.train, flow.split))
+    return candidates.profile_summary(candidates.candidate_profile(
+        flow.candidates, flow.profile_near, flow.train, flow.split, flow.profiles[0]))
 
 
 @query("q_a24_name_map", """

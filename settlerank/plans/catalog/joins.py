@@ -248,8 +248,7 @@ def u01(spark, sf):
 
 @query("q_u02_candidate_union", twin("SELECT node_id, business FROM cand", "cand"))
 def u02(spark, sf):
-    flow = flow_of(spark, sf)
-    return candidates.candidate_pairs(flow.near, flow.train, candidates.run_history(flow.frame), flow.pool)
+    return flow_of(spark, sf).candidate_pairs
 
 
 @query("q_u03_id_set_operations", twin("""

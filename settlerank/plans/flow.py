@@ -171,11 +171,25 @@ class SalesFlow:
     def near(self) -> DataFrame:
         return self.neighbours(self.settings.knn_k)
 
+    @cached_property
+    def profiles(self) -> tuple[DataFrame, DataFrame]:
+        members, profiles = knn.shared_profiles(self.side_vectors())
+        return cut_lineage(members), profiles
+
+    @cached_property
+    def profile_near(self) -> DataFrame:
+        """Neighbours per distinct attribute profile, for everything that is the same for equal nodes."""
+        return self.neighbours(self.settings.knn_k, self.profiles[1])
+
+    @cached_property
+    def candidate_pairs(self) -> DataFrame:
+        return candidates.candidate_pairs(self.profile_near, self.train, candidates.run_history(self.frame), self.pool,
+                                          members=self.profiles[0])
+
     @cached_property
     def candidates(self) -> DataFrame:
-        pairs = candidates.candidate_pairs(self.near, self.train, candidates.run_history(self.frame), self.pool)
         fallback = candidates.fallback_businesses(self.pool)
-        return candidates.with_fallback(self.split, pairs, fallback)
+        return candidates.with_fallback(self.split, cut_lineage(self.candidate_pairs), fallback)
 
 
 _FLOWS: dict[tuple, SalesFlow] = {}
