@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from settlerank.config import FIRST_GENERATION, SECOND_GENERATION, Settings
-from settlerank.operators import evaluation, models
+from settlerank.operators import checks, evaluation, models
 from settlerank.plans.catalog import CATALOG
 from settlerank.plans.recommend import Recommender
 from twin_check import compare, duck
@@ -60,6 +60,15 @@ def test_recommendations_keep_their_invariants(plan):
     metrics = plan.metrics().first()
     assert metrics.hit_at_1 <= metrics.hit_at_3 and metrics.train_nodes + metrics.test_nodes == len(per_node)
     assert metrics.wape < 0.4 and metrics.r2 > 0.5
+    verdict = {r.check: r.ok for r in plan.acceptance().collect()}
+    assert verdict["wape"] == 1 and verdict["test_nodes"] == 0 and len(verdict) == 8
+
+
+def test_data_readiness(spark):
+    ledger, attrs = small_inputs(spark, 50)
+    got = {r.check: (r.actual, r.ok) for r in checks.data_readiness(ledger, attrs, ledger_floor=10).collect()}
+    assert got["ledger_missing_columns"] == (0, 1) and got["attrs_missing_columns"] == (12, 0)
+    assert got["ledger_full_rows"][1] == 1 and got["attrs_rows"] == (50, 0)
 
 
 def test_models_beat_the_mean_and_log_target_stays_positive(plan):
