@@ -7,9 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from settlerank.llm.html import extract_main_text
+from settlerank.llm.lines import deduplicate_lines
+from settlerank.llm.pieces import decode_pieces, encode_pieces
 from settlerank.llm.pii import pseudonymise
 from settlerank.llm.records import read_records, write_records
 from settlerank.llm.rules import quality_rules
+from settlerank.llm.seeds import find_contamination
+from settlerank.llm.setjoin import jaccard_groups
 from settlerank.llm.tokens import new_cache, token_counts
 from settlerank.llm.urls import url_filter
 from settlerank.session import shared_folder
@@ -36,12 +40,27 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that overlap; clean documents have none."""
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so that its figures are those of a whole corpus."""
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), new_cache(spark))
 
 
+@query("op3_pieces")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode the ids, and compare with the text."""
+    docs, model = _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model")
+    coded = encode_pieces(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), model)
+    return decode_pieces(coded, model, keep=["text_crc32"]).select(
+        "doc_id", "n_tokens", "ids_crc32", (F.crc32("text") == F.col("text_crc32")).alias("round_trip"))
+
+
 @query("op4_url_filter")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"))
@@ -59,11 +78,39 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"), "production-key").select("doc_id", "text", "n_pseudonyms")
 
 
+@query("op7_fuzzy_lines")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
+
+
 @query("op8_main_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id
+"""
+
+
+@query("op9_jaccard_join", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
