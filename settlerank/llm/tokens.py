@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from settlerank.llm.arrays import parts, plain
 
 #: Words kept between batches by one Python worker, and the longest word kept.
-KEPT_WORDS, KEPT_CHARS = 800_000, 64
+KEPT_WORDS, KEPT_CHARS = 400_000, 64
 #: Control characters at which str.split parts words but the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
