@@ -132,10 +132,9 @@ def encoder(path: str, width: int = 0) -> WordEncoder:
     return _ENCODERS[path, width]
 
 
-def content_digest(text, version: str):
+def content_digest(text: bytes, version: str) -> bytes:
     """128 bits of the normalised text and the tokenizer's version."""
-    content = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
-    return F.unhex(F.md5(F.concat(F.lit(version + ":"), content)))
+    return hashlib.md5(version.encode() + b":" + b" ".join(text.split())).digest()
 
 
 def count_table(spark: SparkSession, cache_path: str) -> DataFrame:
@@ -155,27 +154,38 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     combined before the shuffle); texts move once, each to the task of its own row id, so that thousands of copies of one
     text do not meet. Two runs that append the same text at once leave two equal rows; the reader takes one.
     """
+    from settlerank.session import cut_lineage
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")) \
-        .withColumn("_digest", content_digest(F.col("_text"), version))
-    keyed = rows.select("_id", "_digest", F.octet_length(F.coalesce("_text", F.lit(""))).cast("long").alias("n_bytes"))
-    first = (keyed.groupBy("_digest").agg(F.min("_id").alias("_id"))
-             .join(count_table(spark, cache_path).select(F.col("digest").alias("_digest")), "_digest", "left_anti"))
-    misses = (rows.join(first.withColumnsRenamed({"_digest": "_d", "_id": "_i"}),
-                        (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
-              .select("_digest", "_text"))
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+
+    def measure(batches):
+        for batch in parts(batches):
+            texts = plain(batch.column(1)).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([content_digest(t, version) for t in texts], pa.binary()),
+                 pa.array([len(t) for t in texts], pa.int64())], ["_id", "digest", "n_bytes"])
+
+    keyed = cut_lineage(rows.mapInArrow(measure, f"_id {kind}, digest binary, n_bytes long"), "digests")
+    first = (keyed.groupBy("digest").agg(F.min("_id").alias("_id"))
+             .join(count_table(spark, cache_path), "digest", "left_anti").withColumnRenamed("_id", "_first"))
+    misses = rows.join(first, F.col("_id").eqNullSafe(F.col("_first"))).select("digest", "_text")
 
     def encode(batches):
         words = encoder(tokenizer_path)
         for batch in parts(batches, 500):
-            counts = [sum(c) for c in words.encode(plain(batch.column(1)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            texts = plain(batch.column(1))
+            # another row with this id may have another text
+            same = [content_digest(t, version) == d for t, d in
+                    zip(texts.cast(pa.binary()).to_pylist(), batch.column(0).to_pylist())]
+            counts = [sum(c) for c in words.encode(texts.filter(pa.array(same)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same)), pa.array(counts, pa.int64())],
+                                             ["digest", "n_tokens"])
 
     misses.mapInArrow(encode, "digest binary, n_tokens long").write.mode("append").parquet(cache_path)
-    stored = count_table(spark, cache_path).groupBy(F.col("digest").alias("_digest")).agg(
-        F.min("n_tokens").alias("n_tokens"))
-    return keyed.join(stored, "_digest").select(
+    stored = count_table(spark, cache_path).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    return keyed.join(stored, "digest").select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
