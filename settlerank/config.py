@@ -37,13 +37,15 @@ class Settings:
     max_depth: int = 6
     min_child: int = 5
     row_sample: float = 0.85
+    generation: int = 1            # of the score, whatever the pool side
+    patience: int = 30             # rounds without gain before the trees end
 
 
 COLDSTART = Settings(min_support=30, knn_k=10)
 FULL_POOL = Settings(min_support=30, n_trees=600)
 FIRST_GENERATION = Settings()
 ABLATION = Settings(n_trees=700, learning_rate=0.04)
-SECOND_GENERATION = Settings(pool_side="nonant", merge_families=True, gate=True)
+SECOND_GENERATION = Settings(generation=2, pool_side="nonant", merge_families=True, gate=True)
 
 
 def _cast(current, text: str):

@@ -3,8 +3,6 @@
 # --- fixed values: attribute columns ------------------------------------------
 CAT_COLS = ["province", "isp", "resourcetype", "deliverytype", "nattype", "dialtype", "device_type", "os"]
 NUM_COLS = ["bw", "corenum", "memtotal", "totaldisksize", "hdddisksize", "ssddisksize", "systemdisksize"]
-COVERAGE_COLS = ["province", "isp", "bw", "corenum", "memtotal", "totaldisksize", "hdddisksize", "ssddisksize",
-                 "systemdisksize", "deliverytype", "device_type", "nattype"]
 
 # --- fixed values: missing tokens of text inputs ------------------------------
 MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -31,15 +29,6 @@ ACCEPTANCE_RANGES = [
     ("r2", 0.60, 1.0),
     ("profit_positive", 0.90, 1.0),
 ]
-FIRST_GENERATION_RANGES = [
-    ("eval_nodes", 999.0, 999.0),
-    ("global_hit1", 0.21, 0.22),
-    ("full_pool_hit1", 0.0, 0.001),
-    ("full_pool_hit3", 0.003, 0.006),
-    ("hit1", 0.355, 0.365),
-    ("hit3", 0.650, 0.660),
-]
-REVIEW_COLS = ["node_id", "true_best", "tb_fam", "top1_business_id", "top1_label", "hit1", "hit3"]
 LEDGER_REQUIRED = ["node_id", "business", "business_name", "online_day", "outcome_days", "cum_cost_7d",
                    "cum_revenue_7d"]
 ATTRS_REQUIRED = ["node_id", "deliverytype", "resourcetype", "province", "isp", "bw", "nattype", "dialtype",

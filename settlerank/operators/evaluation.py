@@ -49,16 +49,13 @@ def error_deltas(errors: DataFrame, variant: str = "variant", base: str = "direc
 
 
 def stratified(hit_rows: DataFrame, prefix: str = "ant") -> DataFrame:
-    """All, prefix and other nodes: count, share, hit rates in percent; a rollup instead of three passes."""
-    flagged = hit_rows.withColumn("is_prefix", has_prefix("node_id", prefix))
-    rolled = flagged.rollup("is_prefix").agg(
-        F.grouping("is_prefix").alias("g"), F.count("*").alias("n"),
-        (F.avg("hit1") * 100).alias("h1"), (F.avg("hit3") * 100).alias("h3"))
-    total = F.max(F.when(F.col("g") == 1, F.col("n"))).alias("total")
-    all_rows = rolled.agg(total).scalar()
-    name = F.when(F.col("g") == 1, "all").when(F.col("is_prefix"), "prefix").otherwise("other")
-    return rolled.select(name.alias("stratum"), "n", F.round(ratio_or_null(F.col("n") * 100.0, all_rows), 1).alias("share_pct"),
-                         F.round("h1", 2).alias("hit1_pct"), F.round("h3", 2).alias("hit3_pct"))
+    """All, prefix and other nodes: count, share, hit rates in percent, in one pass; an absent stratum has n = 0."""
+    inside = {"all": F.lit(True), "prefix": has_prefix("node_id", prefix), "other": ~has_prefix("node_id", prefix)}
+    rows = [F.struct(F.lit(name).alias("stratum"), F.count_if(flag).alias("n"), F.avg(F.when(flag, F.col("hit1"))).alias("h1"),
+                     F.avg(F.when(flag, F.col("hit3"))).alias("h3")) for name, flag in inside.items()]
+    found = hit_rows.agg(F.array(*rows).alias("rows"), F.count("*").alias("_all")).select(F.inline("rows"), "_all")
+    return found.select("stratum", "n", F.round(ratio_or_null(F.col("n") * 100.0, F.col("_all")), 1).alias("share_pct"),
+                        F.round(F.col("h1") * 100, 2).alias("hit1_pct"), F.round(F.col("h3") * 100, 2).alias("hit3_pct"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -72,8 +69,11 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def hit_crosstab(pairs: DataFrame) -> DataFrame:
     """2 x 2 table of first-choice hits, absent cells as zero."""
-    return pairs.groupBy("a_hit1").agg(F.count_if(F.col("b_hit1") == 0).alias("b_miss"),
-                                       F.count_if(F.col("b_hit1") == 1).alias("b_hit"))
+    def cell(a: int, b: int):
+        return F.count_if((F.col("a_hit1") == a) & (F.col("b_hit1") == b))
+    counts = pairs.agg(F.array(*[F.struct(F.lit(a).alias("a_hit1"), cell(a, 0).alias("b_miss"), cell(a, 1).alias("b_hit"))
+                                 for a in (0, 1)]).alias("cells"))
+    return counts.select(F.inline("cells"))
 
 
 def disagreements(pairs: DataFrame, prefix: str = "ant") -> DataFrame:

@@ -17,8 +17,9 @@ def first_window_ledger(daily: DataFrame, days: int = 7) -> DataFrame:
 
     The daily table already has one row per node, business and day, so the window that finds the first
     day holds at most one row per calendar day and the aggregate reuses its partitioning: one shuffle
-    and no self-join.
+    and no self-join. Rows without a node or business belong to no pair and are left out.
     """
+    daily = daily.where(F.col("node_id").isNotNull() & F.col("business").isNotNull())
     pair = W.partitionBy("node_id", "business")
     first = daily.withColumn("business_online_day", F.min("day").over(pair))
     inside = first.where(F.col("day") <= F.date_add("business_online_day", days - 1))
@@ -61,13 +62,14 @@ def scale_summary(ledger: DataFrame, min_days: int = 7) -> DataFrame:
 
 
 def unique_nodes(attrs: DataFrame, order: Sequence[str], key: str = "node_id") -> DataFrame:
-    """One row per key: the first in the given total order.
+    """One row per key: the first in the given order; without one, the copy with the most filled columns.
 
     The minimum of a struct keeps one row per key and map task, so a key with very many copies never
     meets in one place.
     """
     rest = [c for c in attrs.columns if c != key]
-    ranked = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
+    empty = sum([F.col(c).isNull().cast("int") for c in rest], F.lit(0)).alias("_empty")
+    ranked = F.struct(*([] if order else [empty]), *[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
     picked = attrs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(ranked).alias("row"))
     return picked.select(key, *[F.col("row")[c].alias(c) for c in rest])
 

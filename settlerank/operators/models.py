@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from settlerank.config import Settings
 from settlerank.functions import known, zero_filled
 from settlerank.operators.split import validation_flag
+from settlerank.session import cut_lineage
 
 STATS = ["cost_mean_log", "cost_p90_log", "profit_mean_log", "support_log"]
 NEIGHBOUR = ["neighbour_cost", "neighbour_support_log"]
@@ -61,11 +62,25 @@ class AmountModel:
         return raw.select(*features.columns, F.greatest(value, F.lit(0.0)).alias(column))
 
 
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """The round (from 1) with the least error before ``patience`` rounds bring no gain."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
+
+
 def fit_amount(train: DataFrame, target: str, cats: Sequence[str], nums: Sequence[str], settings: Settings,
                log_target: bool = False, domain: DataFrame | None = None) -> AmountModel:
-    """Boosted trees with early stopping on a fixed random slice of the training rows.
+    """Boosted trees, stopped early by the error on a fixed random slice of the training rows.
 
-    The indexer marks its outputs as nominal, so the trees split categories as sets.
+    Rounds are fitted on the other rows and the error after each is taken on the slice, until ``settings.patience`` rounds
+    bring no gain or all are used; the number of rounds doubles, so that a model that stops early is not fitted to the end. The
+    model keeps the trees up to the best round; trees depend on the earlier ones only. The indexer marks its outputs as
+    nominal, so the trees split categories as sets.
     """
     label = F.log1p(F.greatest(target, F.lit(0.0))) if log_target else F.col(target)
     rows = validation_flag(train, settings.validation_share, settings.seed).withColumn("label", label)
@@ -76,11 +91,24 @@ def fit_amount(train: DataFrame, target: str, cats: Sequence[str], nums: Sequenc
     if cats:
         indexer = indexer.fit(rows if domain is None else domain)
     widest = max([len(labels) for labels in indexer.labelsArray] + [2]) + 1 if cats else 2
-    stages = ([indexer] if cats else []) + [
-        VectorAssembler(inputCols=indexed + list(nums), outputCol="features", handleInvalid="keep"),
-        GBTRegressor(featuresCol="features", labelCol="label", maxIter=settings.n_trees,
+    prepared = Pipeline(stages=([indexer] if cats else []) + [
+        VectorAssembler(inputCols=indexed + list(nums), outputCol="features", handleInvalid="keep")]).fit(rows)
+    rows = cut_lineage(prepared.transform(rows).select("features", "label", "is_valid"), "features")
+    trainer = GBTRegressor(featuresCol="features", labelCol="label", maxIter=settings.n_trees,
                      stepSize=settings.learning_rate, maxDepth=settings.max_depth,
                      minInstancesPerNode=settings.min_child, subsamplingRate=settings.row_sample,
-                     maxBins=max(64, widest + 1), seed=settings.seed, validationIndicatorCol="is_valid"),
-    ]
-    return AmountModel(Pipeline(stages=stages).fit(rows), target, log_target)
+                     maxBins=max(64, widest + 1), seed=settings.seed)
+    seen, held = rows.where(~F.col("is_valid")), rows.where("is_valid")
+    if held.isEmpty():
+        fitted = trainer.fit(seen)
+    else:
+        rounds, keep = min(settings.n_trees, 2 * settings.patience), 0
+        while True:
+            fitted = trainer.copy({trainer.maxIter: rounds}).fit(seen)
+            keep = best_round(fitted.evaluateEachIteration(held, "squared"), settings.patience)
+            if rounds - keep >= settings.patience or rounds == settings.n_trees:
+                break
+            rounds = min(2 * rounds, settings.n_trees)
+        if keep < rounds:
+            fitted = trainer.copy({trainer.maxIter: keep}).fit(seen)
+    return AmountModel(PipelineModel(stages=[*prepared.stages, fitted]), target, log_target)

@@ -1,9 +1,8 @@
 """Exact interpolated percentiles of groups of any size.
 
-The built-in exact percentile keeps every distinct value of a group in one task. Here a sketch of
-fixed size cuts each group into value ranges, equal values are counted before they are shuffled, and only
-the ranges that hold a wanted position are ordered, each in its own window. A caller that has counted its
-rows may pass the count; below ``SMALL`` rows the built-in aggregate is safe and takes one stage.
+The built-in exact percentile keeps every distinct value of a group in one task. Here equal values are counted before they
+are shuffled, then all (group, value) rows are cut into ranges of even size, which also cuts a group that is large. Counts
+per range give the place of every range in its group, and only the ranges that hold a wanted position are ordered.
 """
 
 from __future__ import annotations
@@ -14,34 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from settlerank.session import cut_lineage
 
-SMALL = 2_000_000
 
-
-def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                      ranges: int = 64, accuracy: int = 10000, rows: int | None = None) -> DataFrame:
-    """Rows (by..., p, n, value): the linear-interpolation percentile of every non-null group.
-
-    ``ranges`` is a power of two.
-    """
+def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Rows (by..., p, n, value): the linear-interpolation percentile of every non-null group."""
     by = list(by)
     grouped = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     for key in by:
         grouped = grouped.where(F.col(key).isNotNull())
-    if rows is not None and rows <= SMALL:
-        wanted = F.lit([float(p) for p in probs])
-        small = grouped.groupBy(*by).agg(F.percentile("_v", wanted).alias("_q"), F.count("*").alias("n"))
-        pairs = F.arrays_zip(wanted.alias("p"), F.col("_q").alias("value"))
-        return small.select(*by, "n", F.explode(pairs).alias("x")).select(*by, "x.p", "n", "x.value")
-    edges = grouped.groupBy(*by).agg(F.percentile_approx(
-        "_v", [i / ranges for i in range(1, ranges)], accuracy).alias("_edges"))
     counted = grouped.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    placed = counted.join(edges, by).withColumn("_range", F.lit(0))
-    for step in (ranges >> s for s in range(1, ranges.bit_length())):       # binary search in the sorted edges
-        below = F.get("_edges", F.col("_range") + (step - 1)) < F.col("_v")
-        placed = placed.withColumn("_range", F.col("_range") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
-    placed = placed.drop("_edges")
+    # the number of a range is the place of its partition; it is stored, because a second run could cut elsewhere
+    placed = cut_lineage(counted.repartitionByRange(*by, "_v").withColumn("_range", F.spark_partition_id()), "ranges")
 
     # how many values lie before each range, and the wanted order statistics that fall into it
     sizes = placed.groupBy(*by, "_range").agg(F.sum("_c").alias("_size"))

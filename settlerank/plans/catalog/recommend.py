@@ -345,7 +345,7 @@ def m23_full(spark, sf):
 @query("q_m23_second_generation")
 def m23_v2(spark, sf):
     """Non-prefix nodes, families merged, gate on, bandwidth term in the score; the metrics row."""
-    settings = replace(QUICK, pool_side="non1", pool_prefix="1", merge_families=True, gate=True)
+    settings = replace(QUICK, generation=2, pool_side="non1", pool_prefix="1", merge_families=True, gate=True)
     return recommender(spark, sf, settings, family_rules=(("Brand#1", "FAM1"), ("Brand#2", "FAM2"))).metrics()
 
 

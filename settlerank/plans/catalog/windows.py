@@ -35,11 +35,10 @@ def w03(spark, sf):
     SELECT node_id, business, round(coalesce(v / CASE WHEN mx > 0 THEN mx ELSE 1 END, 0), 6) AS bw_norm
     FROM (SELECT *, max(v) OVER (PARTITION BY node_id) AS mx FROM (
         SELECT node_id, t.business, peak_mbps AS v FROM totals t
-        LEFT JOIN (SELECT * FROM peaks WHERE peak_mbps > 30) p USING (node_id, business)))""", "totals", "peaks"))
+        LEFT JOIN peaks p USING (node_id, business)))""", "totals", "peaks"))
 def w04(spark, sf):
     flow = flow_of(spark, sf)
-    rows = flow.totals.select("node_id", "business").join(flow.peaks.where("peak_mbps > 30"), ["node_id", "business"],
-                                                          "left")
+    rows = flow.totals.select("node_id", "business").join(flow.peaks, ["node_id", "business"], "left")
     return rows.select("node_id", "business", F.round(ranking.norm_by_max("peak_mbps"), 6).alias("bw_norm"))
 
 

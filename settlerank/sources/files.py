@@ -36,23 +36,53 @@ def conform(raw: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None,
-             rename: dict[str, str] | None = None, lower: bool = False) -> DataFrame:
+             rename: dict[str, str] | None = None, lower: bool = False, multi_line: bool = False) -> DataFrame:
     """One or many CSV files or globs as one table.
 
-    Files whose headers differ are read apart and united by column name. Without a schema every
-    column stays text.
+    The files behind every glob are grouped by their header line; each header is one scan, and the scans are united by
+    column name. Without a schema every column stays text. ``multi_line`` reads line breaks inside quotes, at the price
+    of one task a file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
 
-    def one(path: str) -> DataFrame:
-        df = spark.read.option("header", True).option("multiLine", False).csv(path)
+    def one(group: Sequence[str]) -> DataFrame:
+        df = spark.read.option("header", True).option("multiLine", multi_line).csv(list(group))
         df = lower_headers(df) if lower else df
         return df.withColumnsRenamed({k: v for k, v in (rename or {}).items() if k in df.columns})
 
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in paths])
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(g) for g in files_by_header(spark, paths)])
     return raw if schema is None else conform(raw, schema)
 
 
+def files_by_header(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
+    """The files behind some paths or globs, those with one header line together.
+
+    The driver lists the files and opens each for its first line only. A path that matches nothing is kept as it is, so that
+    the reader names it in its error.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    groups: dict[str, list[str]] = {}
+    missing = []
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(conf)
+        found = fs.globStatus(place)
+        missing += [] if found else [path]
+        for status in found or []:
+            for file in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+                name = file.getPath()
+                if file.isFile() and file.getLen() and not name.getName().startswith(("_", ".")):
+                    codec, stream = codecs.getCodec(name), fs.open(name)
+                    stream = codec.createInputStream(stream) if codec is not None else stream
+                    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+                    try:
+                        groups.setdefault(reader.readLine() or "", []).append(str(name.toString()))
+                    finally:
+                        reader.close()
+    return [groups[header] for header in sorted(groups)] + [[m] for m in missing] or [list(paths)]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

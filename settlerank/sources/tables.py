@@ -11,7 +11,6 @@ from settlerank.operators.ledger import ledger_rollup
 CATS = ["segment", "nation", "region"]
 NUMS = ["acctbal", "n_orders", "avg_price"]
 SEGMENT = ["segment", "nation", "region"]
-ATTR_COLS = CATS + NUMS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
