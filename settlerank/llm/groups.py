@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from settlerank.session import cut_lineage
 
@@ -50,12 +50,15 @@ def live_keys(keyed: DataFrame) -> DataFrame:
     return cut_lineage(keyed.join(shared, "key").distinct(), "live-keys")
 
 
-def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame,
+                   may_link: Callable[[dict, dict], Column]) -> DataFrame:
     """node, root of the connected groups of all links between nodes that share a key.
 
     ``verify`` gives those of the distinct pairs (a, b) that link. First each node meets the pivot of its keys, so a list
     costs its length. Then members of one key that are still in different groups meet: those outside the key's largest
     group all others. A pair that is left out lies in one group already, so these are the groups of all links.
+    ``traits`` has a row of short columns for each node, and ``may_link`` a condition on those of two nodes that every link
+    meets; the second join tests it before it gives out a pair.
     """
     first = cut_lineage(live.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
                         .distinct(), "pivot-pairs")
@@ -67,9 +70,14 @@ def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("_m"), F.count("*").alias("_k")) \
         .filter("_k > 1").select("key", F.col("_m.root").alias("main"))
     placed = cut_lineage(placed.join(largest, "key"), "mixed-keys")
-    x = placed.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = placed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "main")
-    more = (x.join(y, "key").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") > F.col("b"))))
+    names = [c for c in traits.columns if c != "node"]
+    of = lambda side: {c: F.col(f"{side}_{c}") for c in names}
+    placed = placed.join(traits, "node")
+    x = placed.filter("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"),
+                                             *[F.col(c).alias(f"x_{c}") for c in names])
+    y = placed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "main", *[F.col(c).alias(f"y_{c}") for c in names])
+    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") > F.col("b")))
+    more = (x.join(y, (x["key"] == y["key"]) & apart & may_link(of("x"), of("y")))
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
             .join(first, ["a", "b"], "left_anti"))
     others = cut_lineage(verify(cut_lineage(more, "other-pairs")), "other-links")

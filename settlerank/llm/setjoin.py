@@ -9,7 +9,7 @@ connected groups of these links.
 * **Heavy sets** enter inverted lists with a prefix of their shingles, rare ones first: n - ceil(0.8 n) + 1 of them, of
   which linked sets share one. Light sets that may link to heavy ones enter as well.
 * The boundary is where enumerating costs more keys than the lists are long (``boundary_by_cost``). Frequencies come from
-  a sketch of fixed size (2**20 bucket counts over all documents); any order that is the same everywhere gives exact
+  a sketch of fixed size (2**22 bucket counts over all documents); any order that is the same everywhere gives exact
   results, the sketch only keeps lists short.
 * Per key, members are compared to the smallest node first, then members of different groups with each other
   (``groups_of_keys``), which gives the groups of all links without all pairs of a list.
@@ -37,8 +37,11 @@ from settlerank.session import cut_lineage
 WIDTH = 5
 #: Jaccard threshold as a fraction.
 UP, DOWN = 4, 5
-SKETCH_BITS, FILTER_BITS = 20, 22
+SKETCH_BITS, FILTER_BITS = 22, 22
+#: Longs of the short parity bitmap that joins can compare.
+FOLDS = 8
 LARGEST_LIGHT = 12
+_FOLD_COLUMNS = [f"f{k}" for k in range(FOLDS)]
 
 
 def least_overlap(n: int, m: int) -> int:
@@ -84,7 +87,7 @@ def subset_keys(shingles: np.ndarray) -> np.ndarray:
 
 def prefix_keys(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The rarest shingles of a set, in one order for all sets: frequency class, then hash."""
-    rank = (classes[shingles >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(57)) | (shingles >> np.uint64(7))
+    rank = (classes[shingles >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
     return shingles[np.argsort(rank, kind="stable")[:prefix_length(len(shingles))]]
 
 
@@ -119,6 +122,12 @@ def bitmap(shingles: np.ndarray) -> bytes:
                        bitorder="little").tobytes()
 
 
+def folded(shingles: np.ndarray) -> np.ndarray:
+    """The same in FOLDS longs, whatever the size of the set."""
+    bits = np.bincount((shingles & np.uint64(64 * FOLDS - 1)).astype(np.int64), minlength=64 * FOLDS).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def may_link(a: bytes, b: bytes, total: int) -> bool:
     """Whether the bits that differ leave room for a link of sets with ``total`` shingles together."""
     if len(a) < len(b):
@@ -133,6 +142,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DOWN * shared >= UP * (len(a) + len(b) - shared) and shared > 0
 
 
+def _may_link(x: dict, y: dict):
+    """The sizes fit, and the parity bitmaps leave room for a link."""
+    differ = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in _FOLD_COLUMNS), F.lit(0))
+    return (DOWN * F.least(x["n"], y["n"]) >= UP * F.greatest(x["n"], y["n"])) \
+        & ((UP + DOWN) * differ <= (DOWN - UP) * (x["n"] + y["n"]))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
 
@@ -141,18 +157,23 @@ def _sets(rows: DataFrame) -> DataFrame:
     """Per row: id, size, node and bitmap of its set."""
     def measure(batches):
         for batch in parts(batches):
-            n, nodes, maps = [], [], []
+            n, nodes, maps, folds = [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 maps.append(bitmap(s) if len(s) else None)
+                folds.append(folded(s))
+            folds = np.array(folds, np.int64).reshape(-1, FOLDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
-                                              pa.array(maps, pa.binary())], ["_id", "n", "node", "bits"])
-    return rows.mapInArrow(measure, "_id long, n long, node long, bits binary")
+                                              pa.array(maps, pa.binary()),
+                                              *(pa.array(folds[:, k]) for k in range(FOLDS))],
+                                             ["_id", "n", "node", "bits", *_FOLD_COLUMNS])
+    return rows.mapInArrow(measure, "_id long, n long, node long, bits binary, "
+                           + ", ".join(f"{c} long" for c in _FOLD_COLUMNS))
 
 
 def _frequency_classes(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """The class (bit length of the bucket count) of each bucket, and the mean length of a posting's list."""
+    """The class (four to a doubling of the bucket count) of each bucket, and the mean length of a posting's list."""
     def buckets(batch):
         for part in parts([batch]):
             found = [s >> np.uint64(64 - SKETCH_BITS) for s in shingle_sets(part.column(1))]
@@ -160,7 +181,7 @@ def _frequency_classes(rows: DataFrame) -> tuple[np.ndarray, float]:
     counts = bucket_counts(rows, buckets, SKETCH_BITS)
     total = float(counts.sum())
     mean = float((counts.astype(np.float64) ** 2).sum() / total) if total else 0.0
-    return np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8), mean
+    return np.floor(4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8), mean
 
 
 def _postings(rows: DataFrame, classes: np.ndarray, light: int) -> DataFrame:
@@ -243,13 +264,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _texts(docs, id_col, text_col)
     sets = cut_lineage(_sets(rows), "shingle-sets")
     nodes = sets.filter(F.col("node").isNotNull() & F.col("_id").isNotNull()).groupBy("node").agg(
-        F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        F.min("_id").alias("_id"), F.min("n").alias("n"), F.first("bits").alias("bits"), *[F.min(c).alias(c) for c in _FOLD_COLUMNS])
     nodes = cut_lineage(nodes, "nodes")
     classes, list_length = _frequency_classes(rows)
     light = boundary_by_cost(list_length)
 
     live = live_keys(_postings(rows, classes, light))
-    groups = groups_of_keys(live, lambda pairs: _verify(pairs, nodes, rows))
+    groups = groups_of_keys(live, lambda pairs: _verify(pairs, nodes, rows), nodes.select("node", "n", *_FOLD_COLUMNS), _may_link)
     named = groups.join(nodes.select("node", "_id"), "node").groupBy("root").agg(F.min("_id").alias("component"))
     named = groups.join(named, "root").select("node", "component")
     of_node = nodes.select("node", F.col("_id").alias("least_id")).join(named, "node", "left") \
