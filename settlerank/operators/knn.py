@@ -6,12 +6,14 @@ pruned join:
 
 1. Equal vectors collapse to one profile. Only the k smallest ids of a training profile can be among
    anyone's k nearest, so heavily copied profiles cost k rows, and equal queries are answered once.
-2. A fixed number of pivots cuts the query side into cells. With ``reach`` = the farthest query of the cell
-   from its pivot and ``kth`` = the k-th smallest training distance from that pivot, every query of the cell
-   has k neighbours within ``reach + kth``; training rows farther than ``2 * reach + kth`` from the pivot
+2. Rows with categories are searched inside equal combinations of categories first. Fewer equal categories bound the
+   similarity from above, so a query whose k results beat the bound is done; only the others look further.
+3. Large groups are cut into cells around pivots, in number as the square root of the group. With ``reach`` = the farthest
+   query of the cell from its pivot and ``kth`` = the k-th smallest training distance from that pivot, every query of the
+   cell has k neighbours within ``reach + kth``; training rows farther than ``2 * reach + kth`` from the pivot
    cannot matter to it and are not sent.
-3. Cells are split into chunks of bounded size on both sides. A task multiplies one query chunk with one
-   training chunk and returns at most k rows per query; the parts are merged by rank.
+4. Cells are split into chunks of bounded size on both sides. A task multiplies one query chunk with one
+   training chunk and returns at most k rows per query; the parts are merged by rank. Small groups share tasks.
 
 Similarities are rounded to nine digits before ranking, so that the order of summation cannot move a tie; ties
 go to the smaller id.
@@ -22,11 +24,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from settlerank.operators.ranking import top_k
@@ -165,30 +168,91 @@ def _kth_distance(placed: DataFrame, k: int) -> DataFrame:
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = CosineSpace(),
             group: str | None = None, exclude_self: bool = False, n_cells: int | None = None,
-            query_chunk: int | None = None, train_chunk: int = 16384) -> DataFrame:
+            query_chunk: int = 1024, train_chunk: int = 16384) -> DataFrame:
     """(group?, node_id, neighbour_id, similarity, rank) for the k most similar training rows of each query.
 
     Both inputs have node_id, codes and numbers. With ``group`` neighbours are sought inside the same
     group value only. ``exclude_self`` leaves out the training row with the query's own id.
     """
     depth = k + 1 if exclude_self else k
-    asked = _profiles(queries, group)
+    asked = _profiles(queries, group).withColumn("profile", F.concat_ws("|", "grp", "profile"))
     reps = top_k(_profiles(train, group), ["grp", "profile"], [F.asc("node_id")], depth, "rn").drop("rn", "profile")
     reps = cut_lineage(reps)
     points = cut_lineage(asked.groupBy("grp", "profile").agg(F.first("codes").alias("codes"),
                                                              F.first("numbers").alias("numbers")))
+    width = points.agg(F.max(F.size("codes"))).first()[0] or 0
+    search = _by_category if width else _search
+    best = search(points, reps, depth, space, n_cells, query_chunk, train_chunk)
+    order = [F.desc("similarity"), F.asc("neighbour_id")]
+    result = asked.select("grp", "node_id", "profile").join(best, "profile")
+    if exclude_self:
+        others = result.where(F.col("neighbour_id") != F.col("node_id")).drop("rank")
+        result = top_k(others, ["grp", "node_id"], order, k)
+    keep = [F.col("grp").alias(group)] if group else []
+    return result.select(*keep, "node_id", "neighbour_id", "similarity", "rank")
+
+
+def _by_category(points: DataFrame, reps: DataFrame, depth: int, space: CosineSpace, n_cells: int | None,
+                 query_chunk: int, train_chunk: int) -> DataFrame:
+    """Search inside equal combinations of categories first, and only as far as a query's own results demand.
+
+    With m of w categories equal the similarity is at most ``_bound(m)``. A query whose ``depth`` results are all better
+    than the bound for one equal category less is done; the others go on to combinations with one column masked, then two,
+    and what is left is compared to its whole group.
+    """
+    width = points.agg(F.max(F.size("codes"))).first()[0]
+    order, best, waiting = [F.desc("similarity"), F.asc("neighbour_id")], None, points
+    levels = sorted({0, min(1, width), min(2, width), width})
+    for masked in levels:
+        def keyed(df: DataFrame) -> DataFrame:
+            keys = [F.to_json(F.struct("grp", F.lit(i).alias("mask"), F.array(
+                *[F.lit("") if j in mask else F.get("codes", j) for j in range(width)]).alias("rest")))
+                for i, mask in enumerate(combinations(range(width), masked))]
+            return df.withColumn("grp", F.explode(F.array(*keys)))
+        asked = cut_lineage(keyed(waiting), "asked")
+        known = cut_lineage(keyed(reps).join(asked.select("grp").distinct(), "grp", "left_semi"), "known")
+        found = _search(asked, known, depth, space, n_cells, query_chunk, train_chunk).drop("rank")
+        if best is not None:
+            found = found.unionByName(best.drop("rank")).distinct()
+        best = cut_lineage(top_k(found, "profile", order, depth), "best")
+        if masked == width:
+            break
+        done = best.groupBy("profile").agg(F.count("*").alias("n"), F.min("similarity").alias("least"))
+        limit = _bound(space, F.col("numbers"), (width - masked - 1) / width)
+        waiting = waiting.join(done, "profile", "left").where(
+            F.col("n").isNull() | (F.col("n") < depth) | (F.col("least") <= limit + SLACK)).drop("n", "least")
+        waiting = cut_lineage(waiting, "waiting")
+        if waiting.isEmpty():
+            break
+    return best
+
+
+def _bound(space: CosineSpace, numbers: Column, share: float) -> Column:
+    """The largest similarity of a query with any row that has this share of the categories equal."""
+    whole, half = space.cat_weight + space.num_weight, space.cat_weight
+    filled = F.exists(numbers, lambda x: x != 0)
+    same = half * share
+    with_numbers = max((same + space.num_weight) / whole, same / np.sqrt(whole * half) if half else 0.0)
+    without = max(same / np.sqrt(half * whole), same / half) if half else 0.0
+    return F.when(filled, F.lit(float(with_numbers))).otherwise(F.lit(float(without)))
+
+
+def _search(points: DataFrame, reps: DataFrame, depth: int, space: CosineSpace, n_cells: int | None,
+            query_chunk: int, train_chunk: int) -> DataFrame:
+    """(profile, neighbour_id, similarity, rank): the best ``depth`` training rows of the same ``grp`` for each query.
+
+    A group that fits one chunk on both sides shares its task with others; a larger one is split into cells and chunks.
+    """
+    rows = points.count()
     if n_cells is None:
         largest = reps.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-        n_cells = int(min(256, max(1, largest // 16384)))
-    if query_chunk is None:                     # bounded, and enough chunks to keep every core busy
-        spread = points.count() // (4 * queries.sparkSession.sparkContext.defaultParallelism)
-        query_chunk = int(min(4096, max(256, spread)))
+        n_cells = max(1, round((largest / train_chunk) ** 0.5))
 
     if n_cells == 1:
         placed = points.withColumn("cell", F.lit(0))
         sent = reps.withColumn("cell", F.lit(0))
     else:
-        sample = reps.orderBy(F.md5("node_id"), "node_id", "grp").limit(n_cells).toPandas()   # fixed-size
+        sample = reps.orderBy(F.md5("node_id"), "node_id", "grp").limit(n_cells).toPandas()
         pivots = sample[["codes", "numbers"]]
         placed = _to_pivots(points, pivots, space, all_pivots=False)
         far = _to_pivots(reps, pivots, space, all_pivots=True)
@@ -196,50 +260,46 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = C
         radius = reach.join(_kth_distance(far, depth), ["grp", "cell"], "left").select(
             "grp", "cell", F.coalesce(2 * F.col("reach") + F.col("kth") + SLACK, F.lit(float("inf"))).alias("radius"))
         radii = radius.groupBy("grp").agg(F.collect_list(F.struct("cell", "radius")).alias("radii"))
-        radii = F.broadcast(radii) if group is None else radii      # one row of n_cells entries without groups
         needed = F.filter("radii", lambda r: F.element_at("dists", r["cell"] + 1) <= r["radius"])
         sent = far.join(radii, "grp").select("grp", "node_id", "codes", "numbers",
                                              F.explode(needed).alias("to")).select("*", "to.cell").drop("to")
 
     sizes_q = placed.groupBy("grp", "cell").agg(F.ceil(F.count("*") / query_chunk).cast("int").alias("q_parts"))
     sizes_t = sent.groupBy("grp", "cell").agg(F.ceil(F.count("*") / train_chunk).cast("int").alias("t_parts"))
-    parts = sizes_q.join(sizes_t, ["grp", "cell"])
-    parts = F.broadcast(parts) if group is None else parts          # at most n_cells rows without groups
+    bins = max(1, rows // 2048)
+    small = (F.col("q_parts") == 1) & (F.col("t_parts") == 1)
+    task = F.when(small, F.pmod(F.xxhash64("grp", "cell"), F.lit(bins)).cast("string")).otherwise(
+        F.concat_ws("|", F.lit("own"), "grp", "cell"))
+    parts = sizes_q.join(sizes_t, ["grp", "cell"]).withColumn("task", task)
 
     def numbered(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    keys = ["grp", "cell", "q_part", "t_part"]
+    keys = ["task", "q_part", "t_part"]
     left = (placed.join(parts, ["grp", "cell"])
             .withColumn("q_part", F.pmod(F.xxhash64("profile"), F.col("q_parts")).cast("int"))
-            .withColumn("t_part", numbered("t_parts")).select(*keys, "profile", "codes", "numbers"))
-    right = (sent.join(parts, ["grp", "cell"])
+            .withColumn("t_part", numbered("t_parts")).select(*keys, "grp", "cell", "profile", "codes", "numbers"))
+    right = (sent.join(parts.select(*[F.col(c).alias(c) for c in parts.columns]), ["grp", "cell"])
              .withColumn("t_part", F.pmod(F.xxhash64("node_id"), F.col("t_parts")).cast("int"))
-             .withColumn("q_part", numbered("q_parts")).select(*keys, "node_id", "codes", "numbers"))
-
-    def match(key, asked_part: pd.DataFrame, train_part: pd.DataFrame) -> pd.DataFrame:
-        columns = ["grp", "profile", "neighbour_id", "similarity"]
-        if not len(asked_part) or not len(train_part):
-            return pd.DataFrame(columns=columns)
-        train_part = train_part.sort_values("node_id", kind="stable")
-        ids, names = train_part["node_id"].to_numpy(), asked_part["profile"].to_numpy()
-        (a, b), out = Block.of(asked_part, train_part), []
-        for start in range(0, len(names), 256):
-            rows, cols, values = best_in_block(space.similarity(a.rows(start, start + 256), b), depth)
-            out.append(pd.DataFrame({"grp": key[0], "profile": names[start + rows], "neighbour_id": ids[cols],
-                                     "similarity": values}))
-        return pd.concat(out)[columns]
+             .withColumn("q_part", numbered("q_parts")).select(*keys, "grp", "cell", "node_id", "codes", "numbers"))
+
+    def match(asked_part: pd.DataFrame, train_part: pd.DataFrame) -> pd.DataFrame:
+        columns = ["profile", "neighbour_id", "similarity"]
+        out = [pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip(columns, (object, object, float))})]
+        known = dict(list(train_part.sort_values("node_id", kind="stable").groupby(["grp", "cell"])))
+        for block, some in asked_part.groupby(["grp", "cell"]):
+            if block not in known:
+                continue
+            ids, names = known[block]["node_id"].to_numpy(), some["profile"].to_numpy()
+            a, b = Block.of(some, known[block])
+            for start in range(0, len(names), 256):
+                rows, cols, values = best_in_block(space.similarity(a.rows(start, start + 256), b), depth)
+                out.append(pd.DataFrame({"profile": names[start + rows], "neighbour_id": ids[cols], "similarity": values}))
+        return pd.concat(out)[columns] if len(out) > 1 else out[0]
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        match, "grp string, profile string, neighbour_id string, similarity double")
-    order = [F.desc("similarity"), F.asc("neighbour_id")]
-    best = top_k(found, ["grp", "profile"], order, depth)
-    result = asked.select("grp", "node_id", "profile").join(best, ["grp", "profile"])
-    if exclude_self:
-        others = result.where(F.col("neighbour_id") != F.col("node_id")).drop("rank")
-        result = top_k(others, ["grp", "node_id"], order, k)
-    keep = [F.col("grp").alias(group)] if group else []
-    return result.select(*keep, "node_id", "neighbour_id", "similarity", "rank")
+        match, "profile string, neighbour_id string, similarity double")
+    return top_k(found, "profile", [F.desc("similarity"), F.asc("neighbour_id")], depth)
 
 
 def shared_profiles(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
