@@ -65,7 +65,7 @@ def norm(line):
 
 
 def simhash(line):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in line.split(" ")]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(line.split(" "))]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 

@@ -105,12 +105,30 @@ def test_line_dedup_equals_brute_force(documents, dice):
     assert found == brute.deduplicated(list(enumerate(texts)))
 
 
-def test_simhash_equals_brute_force(spark, dice):
+def test_simhash_equals_brute_force(spark, dice, monkeypatch):
     from pyspark.sql import functions as F
-    from settlerank.llm.lines import simhash
-    texts = [prose(dice, n) for n in (1, 2, 7, 126, 127, 128, 254, 255, 700)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", simhash(F.split("t", " ")).alias("s")).collect()
-    assert all(r["s"] % (1 << 64) == brute.simhash(r["t"]) for r in rows)
+    from settlerank.llm import lines
+    texts = [prose(dice, n) for n in (1, 2, 7, 126, 255, 700)] + [" ".join(f"x{i}" for i in range(n)) for n in (300, 1000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "norm string").withColumn("node", F.xxhash64("norm"))
+    for chunk in (lines._CHUNK, 250):
+        monkeypatch.setattr(lines, "_CHUNK", chunk)
+        found = lines.simhashes(rows, ["norm"]).collect()
+        assert len(found) == len(texts) and all(r["sim"] % (1 << 64) == brute.simhash(r["norm"]) for r in found)
+
+
+def test_distance_equals_brute_force(spark, dice):
+    from pyspark.sql import functions as F
+    from settlerank.llm.lines import with_distance
+    pairs = [("", "a"), ("abc", "abc"), ("aaaa", "aa"), ("é日x", "é日日x"), ("abcabc", "abc"), ("xabc", "yabc")]
+    for _ in range(60):
+        a = "".join(dice.choice("ab é") for _ in range(dice.randrange(30)))
+        b = list(a)
+        for _ in range(dice.randrange(5)):
+            b.insert(dice.randrange(len(b) + 1), dice.choice("abc"))
+        pairs.append((a, "".join(b)))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, ta string, tb string")
+    found = {r["i"]: r["distance"] for r in with_distance(rows, F.lit(100)).collect()}
+    assert found == {i: brute.edit_distance(a, b) for i, (a, b) in enumerate(pairs)}
 
 
 def _model():
