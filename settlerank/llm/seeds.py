@@ -6,8 +6,9 @@ two positions are ignored together by a mask, and **every window with at most tw
 The hash of the nine tokens that a mask sees is looked up among those of the benchmark: first in a bit array of fixed
 size that is sent to the tasks, then by a join on hash and mask.
 
-Each hit names an alignment of a test item and a document. Around it the two are compared token by token, and every run of
-windows with at most two substitutions is taken as overlap. Items shorter than a window have to occur as a whole: a
+Each hit names an alignment of a test item and a document; the many hits of one overlap are one alignment. Documents that have
+one are read again, and around it the two are compared token by token: every run of windows with at most two
+substitutions is taken as overlap. Items shorter than a window have to occur as a whole: a
 short item's hash is over all its tokens. Items without a token match nothing.
 
 A document is contaminated by an item if it holds such an overlap. Null and empty texts hold none. Repeated rows (one id, equal
@@ -27,9 +28,10 @@ from settlerank.llm.sketches import bucket_counts
 WINDOW, ALLOWED = 13, 2
 #: A perfect difference set modulo 13.
 IGNORED = (0, 1, 3, 9)
-FILTER_BITS = 22
-#: Tokens around a hit that are compared at once; longer overlaps are pieced together from their hits.
-AROUND = 64
+#: The bit array has 2**FILTER_BITS bits, and each hash sets PROBES of them.
+FILTER_BITS, PROBES = 24, 3
+#: Document ids fall into so many buckets when documents are read again.
+BUCKETS = 1 << 20
 
 _STEP = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 _MASK_SALT = mix(np.arange(101, 101 + WINDOW, dtype=np.uint64))
@@ -66,32 +68,40 @@ def token_slices(column):
     return slices(pc.utf8_lower(plain(column)), breaks=PUNCTUATED)
 
 
+def _place(hashes: np.ndarray, probe: int) -> np.ndarray:
+    return (mix(hashes + np.uint64(probe)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """hash, item, place of the window in the item, all tokens: one row for each window and mask."""
+    """key (of item and text), item, all its tokens: one row for each item that has tokens."""
     kind = dict(benchmark.dtypes)[item_col]
 
+    def tokens(batches):
+        for batch in parts(batches, 500):
+            found = [part.words[a:b].tobytes() for part in token_slices(batch.column(2))
+                     for a, b in zip(part.first_word[:-1], part.first_word[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["key", "item", "tokens"])
+
+    rows = benchmark.select(F.xxhash64(benchmark[item_col], benchmark[text_col]).alias("key"), benchmark[item_col].alias("item"),
+                            benchmark[text_col].alias("text"))
+    return rows.mapInArrow(tokens, f"key long, item {kind}, tokens binary").filter(F.length("tokens") > 0).distinct()
+
+
+def _item_hashes(items: DataFrame) -> DataFrame:
+    """hash, key, place of the window in the item, tokens of the item: one row for each window and mask."""
     def hashes(batches):
         for batch in parts(batches, 500):
-            ids = batch.column(0)
-            for part in token_slices(batch.column(1)):
-                for i in range(part.n):
-                    words = part.words[part.first_word[i]:part.first_word[i + 1]]
-                    if not len(words):
-                        continue
-                    if len(words) < WINDOW:
-                        found, at = np.array([whole_hash(words)], np.uint64), np.zeros(1, np.int32)
-                    else:
-                        found = mask_hashes(words)
-                        at = np.tile(np.arange(found.shape[1], dtype=np.int32), WINDOW)
-                        found = found.ravel()
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.view(np.int64)), ids.slice(part.first + i, 1).take(pa.array(np.zeros(n, np.int32))),
-                         pa.array(at), pa.array([words.tobytes()] * n, pa.binary()),
-                         pa.array(np.full(n, len(words), np.int32))], ["hash", "item", "item_at", "tokens", "length"])
-
-    return benchmark.select(benchmark[item_col].alias("item"), benchmark[text_col].alias("text")) \
-        .mapInArrow(hashes, f"hash long, item {kind}, item_at int, tokens binary, length int")
+            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.frombuffer(tokens, np.uint64)
+                if len(words) < WINDOW:
+                    found, at = np.array([whole_hash(words)], np.uint64), np.zeros(1, np.int64)
+                else:
+                    found = mask_hashes(words)
+                    at, found = np.tile(np.arange(found.shape[1]), WINDOW), found.ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), pa.array(np.full(len(found), key, np.int64)), pa.array(at),
+                     pa.array(np.full(len(found), len(words), np.int64))], ["hash", "key", "item_at", "length"])
+    return items.select("key", "tokens").mapInArrow(hashes, "hash long, key long, item_at long, length long")
 
 
 def overlaps(doc: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
@@ -125,66 +135,70 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, first_token, n_tokens, n_substituted) for each document and item that overlap: the longest overlap.
 
-    Documents are not shuffled; their hits are, with a stretch of token hashes around each. Hits of one passage in very many
-    documents have one hash: the join is a plain equi-join that AQE splits, and its other side has the few items.
+    Documents are not shuffled, only their hits. Hits of one passage in very many documents have one hash: the join is a plain
+    equi-join that AQE splits, and its other side has the few items. The documents with an alignment are found again by
+    their bucket, of which there are at most BUCKETS, and then joined exactly.
     """
     from settlerank.session import cut_lineage
-    items = cut_lineage(_items(benchmark, item_col, item_text_col), "test-hashes")
-    place = lambda h: (h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    seen = bucket_counts(items.select("hash"), lambda b: [place(b.column(0).to_numpy())], FILTER_BITS) > 0
-    widths = [r["length"] for r in items.filter(F.col("length") < WINDOW).select("length").distinct().collect()]
+    items = cut_lineage(_items(benchmark, item_col, item_text_col), "test-items")
+    hashes = cut_lineage(_item_hashes(items), "test-hashes")
+    seen = bucket_counts(hashes.select("hash"), lambda b: [np.concatenate(
+        [_place(b.column(0).to_numpy().view(np.uint64), k) for k in range(PROBES)])], FILTER_BITS) > 0
+    widths = [r["length"] for r in hashes.filter(F.col("length") < WINDOW).select("length").distinct().collect()]
     passed = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))     # 2**FILTER_BITS bits, whatever the input
-    kind = dict(docs.dtypes)[id_col]
+    kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+    rows = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("tag"), docs[text_col].alias("text"))
 
     def search(batches):
         bits = np.unpackbits(passed.value).astype(bool)
         for batch in parts(batches, 1000):
-            ids = batch.column(0)
-            for part in token_slices(batch.column(1)):
+            for part in token_slices(batch.column(2)):
                 words = part.words
                 word_doc = np.repeat(np.arange(part.n), part.n_words())
-                found = []                                   # (hashes, places of the windows)
+                found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for width in (WINDOW, *widths):
-                    rows = mask_hashes(words) if width == WINDOW else window_hash(words, width)[None, :]
-                    inside = word_doc[:rows.shape[1]] == word_doc[width - 1:] if rows.shape[1] else np.zeros(0, bool)
-                    for row in rows:
-                        at = np.flatnonzero(bits[place(row)] & inside)
-                        found.append((row[at], at))
-                hashes, at = (np.concatenate(x) for x in zip(*found))
-                if not len(hashes):
-                    continue
-                doc = word_doc[at]
-                first, end = part.first_word[doc], part.first_word[doc + 1]
-                low, high = np.maximum(first, at - AROUND), np.minimum(end, at + WINDOW + AROUND)
+                    for row in mask_hashes(words) if width == WINDOW else window_hash(words, width)[None, :]:
+                        at = np.flatnonzero(bits[_place(row, 0)])
+                        for k in range(1, PROBES):
+                            at = at[bits[_place(row[at], k)]]
+                        at = at[word_doc[at] == word_doc[at + width - 1]]
+                        found.append(row[at])
+                        places.append(at)
+                found, places = np.concatenate(found), np.concatenate(places)
+                doc = word_doc[places]
+                index = pa.array(part.first + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), ids.take(pa.array(part.first + doc)),
-                     pa.array((at - first).astype(np.int64)), pa.array((low - first).astype(np.int64)),
-                     pa.array([words[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist())], pa.binary())],
-                    ["hash", "doc", "doc_at", "low", "around"])
-
-    hits = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(
-        search, f"hash long, doc {kind}, doc_at long, low long, around binary")
-    joined = hits.join(items, "hash").select("doc", "item", "doc_at", "low", "around", "item_at", "tokens")
-    item_kind = dict(benchmark.dtypes)[item_col]
+                    [pa.array(found.view(np.int64)), batch.column(0).take(index), batch.column(1).take(index),
+                     pa.array((places - part.first_word[doc]).astype(np.int64))], ["hash", "doc", "tag", "at"])
+
+    hits = rows.mapInArrow(search, f"hash long, doc {kind}, tag long, at long")
+    aligned = cut_lineage(hits.join(hashes.drop("length"), "hash")
+                          .select("doc", "tag", "key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
+    asked = aligned.join(items, "key").groupBy("doc", "tag").agg(
+        F.collect_list(F.struct("item", "shift", "tokens")).alias("asked")).toDF("_doc", "_tag", "asked")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    near = rows.withColumn("bucket", bucket("doc")).join(
+        F.broadcast(aligned.select(bucket("doc").alias("bucket")).distinct()), "bucket", "left_semi")
+    near = near.join(asked, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))).select("doc", "text", "asked")
 
     def verify(batches):
-        for batch in parts(batches, 2000):
-            keep, out = [], []
-            known: dict[tuple, list] = {}
-            for i, (at, low, around, item_at, tokens) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 7)))):
-                shift = at - item_at - low
-                key = (around, tokens, shift)
-                if key not in known:
-                    known[key] = overlaps(np.frombuffer(around, np.uint64), np.frombuffer(tokens, np.uint64), shift)
-                for start, length, changed in known[key]:
-                    keep.append(i)
-                    out.append((low + start, length, changed))
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(pa.array(keep, pa.int32())) for k in (0, 1)),
-                 *(pa.array(c, pa.int64()) for c in columns)], ["doc", "item", "first_token", "n_tokens", "n_substituted"])
-
-    found = joined.mapInArrow(verify, f"doc {kind}, item {item_kind}, first_token long, n_tokens long, n_substituted long")
+        for batch in parts(batches, 200):
+            lists = batch.column(2)
+            for part in token_slices(batch.column(1)):
+                keep, names, out = [], [], []
+                for i in range(part.n):
+                    words = part.words[part.first_word[i]:part.first_word[i + 1]]
+                    for one in lists[part.first + i].as_py():
+                        for found in overlaps(words, np.frombuffer(one["tokens"], np.uint64), one["shift"]):
+                            keep.append(part.first + i)
+                            names.append(one["item"])
+                            out.append(found)
+                columns = list(zip(*out)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(names, lists.type.value_type.field("item").type),
+                     *(pa.array(c, pa.int64()) for c in columns)], ["doc", "item", "first_token", "n_tokens", "n_substituted"])
+
+    found = near.mapInArrow(verify, f"doc {kind}, item {item_kind}, first_token long, n_tokens long, n_substituted long")
     longest = F.max_by(F.struct("first_token", "n_tokens", "n_substituted"),
                        F.struct("n_tokens", -F.col("n_substituted"), -F.col("first_token"))).alias("_o")
     return found.groupBy("doc", "item").agg(longest).select(
