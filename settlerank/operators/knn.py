@@ -213,7 +213,7 @@ def _by_category(points: DataFrame, reps: DataFrame, depth: int, space: CosineSp
         known = cut_lineage(keyed(reps).join(asked.select("grp").distinct(), "grp", "left_semi"), "known")
         found = _search(asked, known, depth, space, n_cells, query_chunk, train_chunk).drop("rank")
         if best is not None:
-            found = found.unionByName(best.drop("rank")).distinct()
+            found = found.unionByName(best.drop("rank")).dropDuplicates(["profile", "neighbour_id"])
         best = cut_lineage(top_k(found, "profile", order, depth), "best")
         if masked == width:
             break
@@ -299,6 +299,7 @@ def _search(points: DataFrame, reps: DataFrame, depth: int, space: CosineSpace,
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         match, "profile string, neighbour_id string, similarity double")
+    found = found.dropDuplicates(["profile", "neighbour_id"])       # masked combinations meet more than once
     return top_k(found, "profile", [F.desc("similarity"), F.asc("neighbour_id")], depth)
 
 
