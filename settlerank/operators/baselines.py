@@ -7,12 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from settlerank.operators.ranking import top_k
+from settlerank.session import cut_lineage
 
 
 def ranked_pool(scored: DataFrame, score: str = "score") -> DataFrame:
-    """The pool (one row per business) with its place by score, equal scores by id."""
-    return scored.select("business", F.col(score).alias("score")).withColumn(
-        "place", F.row_number().over(W.orderBy(F.desc("score"), F.asc("business"))))
+    """The pool (one row per business) with its place by score, equal scores by id.
+
+    The rows are cut into ranges of that order; a place is the place in the range plus the rows of the ranges before, which
+    are running sums over one row a range.
+    """
+    order = [F.desc("score"), F.asc("business")]
+    ranged = cut_lineage(scored.select("business", F.col(score).alias("score")).repartitionByRange(*order)
+                         .withColumn("_range", F.spark_partition_id()), "ranked-pool")
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", (F.coalesce(F.sum("_n").over(
+        W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
+    placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_range").select(         # one row a range
+        "business", "score", (F.col("_place") + F.col("_before")).cast("int").alias("place"))
 
 
 def same_for_all(nodes: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
@@ -60,12 +71,15 @@ def neighbour_overrides(neighbours: DataFrame, train: DataFrame) -> DataFrame:
 def spread_pool(nodes: DataFrame, pool: DataFrame, chunk: int = 1000) -> DataFrame:
     """Every node with every pool business, for scorers that need a prediction per pair.
 
-    The pool is packed into arrays of at most ``chunk`` ids and a node meets each array once by an
-    equi-join on the array number, so no row is wider than a chunk whatever the pool size.
+    The pool is packed by hash into arrays of about ``chunk`` ids and a node meets each array once. Arrays are copied under as
+    many salts as the session has shuffle partitions and a node has the salt of its own hash, so the equi-join on
+    pack and salt has no key that all nodes share.
     """
-    numbered = ranked_pool(pool.select("business", F.lit(0.0).alias("score")))
-    packs = numbered.groupBy(F.floor((F.col("place") - 1) / chunk).alias("pack")).agg(
-        F.collect_list("business").alias("ids"))
-    last = packs.agg(F.max("pack")).scalar()
-    spread = nodes.withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return spread.join(packs, "pack").select(*nodes.columns, F.explode("ids").alias("business"))
+    spark = nodes.sparkSession
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_packs = max(1, -(-pool.count() // chunk))
+    packs = pool.select("business", F.pmod(F.xxhash64("business"), F.lit(n_packs)).alias("pack")).groupBy("pack").agg(
+        F.collect_list("business").alias("ids")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = nodes.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int")).withColumn(
+        "pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_packs - 1).cast("long"))))
+    return spread.join(packs, ["pack", "salt"]).select(*nodes.columns, F.explode("ids").alias("business"))
