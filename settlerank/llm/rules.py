@@ -117,7 +117,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: id, the counts, ``base_failed``, the host's shrunken rate (null without a host) and ``kept``."""
     from settlerank.session import cut_lineage
     rules = cut_lineage(document_rules(docs, id_col, text_col, host_col, **limits), "rules")
-    joined = rules.join(host_rates(rules), "_host", "left")
+    # stored, so that its size is known: few hosts are sent to the tasks, many are joined, and AQE can split a hot one
+    joined = rules.join(cut_lineage(host_rates(rules), "hosts"), "_host", "left")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate)
     return joined.select(F.col("_id").alias(id_col), *_COUNTS, "base_failed", F.col("_host").alias("host"), "host_rate",
                          kept.alias("kept"))
