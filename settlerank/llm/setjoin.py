@@ -275,6 +275,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = groups.join(named, "root").select("node", "component")
     of_node = nodes.select("node", F.col("_id").alias("least_id")).join(named, "node", "left") \
         .select("node", F.coalesce("component", "least_id").alias("component"))
+    of_node = cut_lineage(of_node, "components")        # so that AQE can split a set with very many rows in the last join
     return sets.select("_id", "n", "node").join(of_node, "node", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id"))
