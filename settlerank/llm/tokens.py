@@ -186,7 +186,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses.mapInArrow(encode, "digest binary, n_tokens long").write.mode("append").parquet(cache_path)
     # stored, so that the join deals both sides anew and AQE can split a digest with very many rows
     stored = cut_lineage(count_table(spark, cache_path).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-                         .join(keyed.select("digest"), "digest", "left_semi"), "counts")
+                         .join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
     return keyed.join(stored, "digest").select(
         F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
