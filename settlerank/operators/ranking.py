@@ -41,15 +41,15 @@ def norm_by_max(value: str, by: str = "node_id") -> Column:
 
 
 def recommendation_rows(ranked: DataFrame) -> DataFrame:
-    """Long recommendation rows with rounded money and the profit flag."""
-    return ranked.select("node_id", "rank", "business", rounded_money("pred_cost").alias("pred_cost"),
-                         rounded_money("pred_profit").alias("pred_profit"),
+    """Long recommendation rows with rounded money, where predicted also of revenue, and the profit flag."""
+    money = [c for c in ("pred_cost", "pred_revenue", "pred_profit") if c in ranked.columns]
+    return ranked.select("node_id", "rank", "business", *[rounded_money(c).alias(c) for c in money],
                          positive_flag("pred_profit").alias("profit_positive"))
 
 
 def widen(recs: DataFrame, k: int = 3) -> DataFrame:
     """One row per node with top1..topk columns; ranks a node lacks stay null."""
-    fields = ["business", "pred_cost", "pred_profit", "profit_positive"]
+    fields = [c for c in ("business", "pred_cost", "pred_revenue", "pred_profit", "profit_positive") if c in recs.columns]
     aggs = [F.max(F.when(F.col("rank") == i, F.col(f))).alias(f"top{i}_{f}") for i in range(1, k + 1) for f in fields]
     return recs.groupBy("node_id").agg(*aggs)
 
