@@ -40,14 +40,17 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         .union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def live_keys(keyed: DataFrame) -> DataFrame:
+def live_keys(keyed: DataFrame, unique: bool = False) -> DataFrame:
     """key, node, pivot of the keys (key, node) that two or more nodes share; pivot is the smallest of them.
 
+    ``unique`` says that no row of ``keyed`` repeats.
+
     Minima and maxima are combined before the shuffle, and the join back is one that AQE splits at a hot key.
     """
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")) \
         .filter("pivot < _last").drop("_last")
-    return cut_lineage(keyed.join(shared, "key").distinct(), "live-keys")
+    live = keyed.join(shared, "key")
+    return cut_lineage(live if unique else live.distinct(), "live-keys")
 
 
 def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame,
