@@ -16,7 +16,8 @@ from settlerank.plans.registry import query
 from settlerank.plans.twins import twin
 from settlerank.sources import tables
 
-QUICK = replace(FIRST_GENERATION, n_trees=20, full_window_days=1)
+#: All trees of the library are allowed; a larger step and less patience let early stopping end the fits sooner.
+QUICK = replace(FIRST_GENERATION, learning_rate=0.3, patience=10, full_window_days=1)
 _PLANS: dict[tuple, object] = {}
 
 
@@ -172,11 +173,11 @@ def m11(spark, sf):
     """Trees kept by early stopping on the training slice, beside the allowed number."""
     plan = recommender(spark, sf)
     rows = plan.training_rows.where(~F.col("is_test"))
-    model = models.fit_amount(rows, "cum_cost_7d", [], ["acctbal", "n_orders"],
-                              replace(QUICK, n_trees=40, learning_rate=0.5))
+    model = models.fit_amount(rows, "cum_cost_7d", tables.CATS, [*tables.NUMS, *models.STATS, "biz_prior"], QUICK,
+                              domain=plan.training_rows.select(*tables.CATS))
     kept = model.pipeline.stages[-1].getNumTrees
     return rows.agg(F.count("*").alias("n_rows")).withColumn("trees_kept", F.lit(kept)).withColumn(
-        "trees_allowed", F.lit(40))
+        "trees_allowed", F.lit(QUICK.n_trees))
 
 
 @query("q_m12_log_target")
@@ -321,7 +322,7 @@ def cold_metrics(spark, sf):
 
 @query("q_m22_model_baseline")
 def m22(spark, sf):
-    return ranked_rows(coldstart(spark, sf, replace(COLDSTART, n_trees=20)).by_model())
+    return ranked_rows(coldstart(spark, sf, replace(COLDSTART, learning_rate=0.3, patience=10)).by_model())
 
 
 # -- end to end ------------------------------------------------------------------------------------------------
