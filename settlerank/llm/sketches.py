@@ -42,8 +42,12 @@ def bucket_counts(rows: DataFrame, buckets: Callable, bits: int) -> np.ndarray:
         sums = np.zeros(size, np.uint64)
         for batch in batches:
             for found in buckets(batch):
-                sums += np.bincount(found.astype(np.int64), minlength=size).astype(np.uint64) if len(found) > size // 8 \
-                    else _sparse(found, size)
+                found = found.astype(np.int64)
+                if len(found) > size // 8:
+                    sums += np.bincount(found, minlength=size).astype(np.uint64)
+                else:
+                    at, n = np.unique(found, return_counts=True)
+                    sums[at] += n.astype(np.uint64)
         step = size // _PIECES
         yield _pieces({k: sums[k * step:(k + 1) * step] for k in range(_PIECES) if sums[k * step:(k + 1) * step].any()})
 
@@ -58,10 +62,3 @@ def bucket_counts(rows: DataFrame, buckets: Callable, bits: int) -> np.ndarray:
         step = size // _PIECES
         out[row["piece"] * step:(row["piece"] + 1) * step] += np.frombuffer(zlib.decompress(row["data"]), np.uint64)
     return out
-
-
-def _sparse(found: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(size, np.uint64)
-    at, n = np.unique(found.astype(np.int64), return_counts=True)
-    out[at] = n.astype(np.uint64)
-    return out

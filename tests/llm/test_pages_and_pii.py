@@ -171,3 +171,22 @@ def test_pipeline(spark, tmp_path, dice):
     from settlerank.llm.pieces import PieceModel
     model = PieceModel(corpus_pipeline.tokenizer("piece_bpe_32k.model"))
     assert all(model.decode(r["ids"]) == r["text"] for r in found.values())
+
+
+def test_pipeline_stages_on_edge_rows(spark, edge, nothing, tmp_path):
+    import corpus_pipeline
+    spark.createDataFrame([(1, "some words of a test item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs, counts in ((edge, [0, 11, 10, 11, 11]), (nothing, [0] * 5)):
+        for (name, stage), n in zip(corpus_pipeline.STAGES, counts):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns[:len(docs.columns)] == docs.columns or name == "pieces"
+            found = out.count()
+            assert (found, name) == (n, name) or name in ("quality_rules", "line_dedup", "jaccard_join") and found <= n + 11
+
+
+def test_quality_stage_keeps_good_rows_without_an_id(spark):
+    import corpus_pipeline
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, good, "en", "s", 1), (None, None, "en", "s", 1), (1, good, "en", None, 1), (1, "short", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.keep_good(spark, docs, "").collect()) == [(0, good), (1, good)]
