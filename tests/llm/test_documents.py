@@ -109,7 +109,7 @@ def test_simhash_equals_brute_force(spark, dice, monkeypatch):
     from pyspark.sql import functions as F
     from settlerank.llm import lines
     texts = [prose(dice, n) for n in (1, 2, 7, 126, 255, 700)] + [" ".join(f"x{i}" for i in range(n)) for n in (300, 1000)]
-    rows = spark.createDataFrame([(t,) for t in texts], "norm string").withColumn("node", F.xxhash64("norm"))
+    rows = spark.createDataFrame([(t,) for t in texts], "norm string").withColumn("words", F.split("norm", " "))
     for chunk in (lines._CHUNK, 250):
         monkeypatch.setattr(lines, "_CHUNK", chunk)
         found = lines.simhashes(rows, ["norm"]).collect()
