@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from settlerank.session import cut_lineage
 
+#: Members of a key's largest group that those outside it meet.
+MORE_PIVOTS = 4
+
 
 def _tidy(edges: DataFrame) -> DataFrame:
     """Each link once, from the larger to the smaller node; none from a node to itself."""
@@ -58,21 +61,30 @@ def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame], tr
     """node, root of the connected groups of all links between nodes that share a key.
 
     ``verify`` gives those of the distinct pairs (a, b) that link. First each node meets the pivot of its keys, so a list
-    costs its length. Then members of one key that are still in different groups meet: those outside the key's largest
-    group all others. A pair that is left out lies in one group already, so these are the groups of all links.
-    ``traits`` has a row of short columns for each node, and ``may_link`` a condition on those of two nodes that every link
-    meets; the second join tests it before it gives out a pair.
+    costs its length. Then those outside their key's largest group meet a few pseudo-random members of it, which joins most
+    of a large group whose pivot lies at its rim. At last members of one key that are still in different groups meet: those
+    outside the key's largest group all others. A pair that is left out lies in one group already, so these are the groups
+    of all links. ``traits`` has a row of short columns for each node, and ``may_link`` a condition on those of two nodes
+    that every link meets; the last join tests it before it gives out a pair.
     """
-    first = cut_lineage(live.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    tried = cut_lineage(live.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
                         .distinct(), "pivot-pairs")
-    links = cut_lineage(verify(first), "pivot-links")
+    links = cut_lineage(verify(tried), "pivot-links")
     groups = cut_lineage(connected_groups(links), "groups")
-    placed = live.select("key", "node").join(groups, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("_m"), F.count("*").alias("_k")) \
-        .filter("_k > 1").select("key", F.col("_m.root").alias("main"))
-    placed = cut_lineage(placed.join(largest, "key"), "mixed-keys")
+
+    placed = _mixed_keys(live, groups)
+    inside = placed.filter("root = main").groupBy("key").agg(F.array_distinct(F.array(*[
+        F.min_by("node", F.xxhash64("node", F.lit(seed))) for seed in range(MORE_PIVOTS)])).alias("pivots"))
+    again = (placed.filter("root != main").select("key", "node").join(inside, "key").select("node", F.explode("pivots").alias("other"))
+             .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+             .join(tried, ["a", "b"], "left_anti"))
+    again = cut_lineage(again, "more-pivot-pairs")
+    found = cut_lineage(verify(again), "more-pivot-links")
+    if not found.isEmpty():
+        links, tried = links.union(found), tried.union(again)
+        groups = cut_lineage(connected_groups(links), "groups")
+        placed = _mixed_keys(live, groups)
+
     names = [c for c in traits.columns if c != "node"]
     of = lambda side: {c: F.col(f"{side}_{c}") for c in names}
     placed = placed.join(traits, "node")
@@ -82,6 +94,16 @@ def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame], tr
     apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") > F.col("b")))
     more = (x.join(y, (x["key"] == y["key"]) & apart & may_link(of("x"), of("y")))
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            .join(first, ["a", "b"], "left_anti"))
+            .join(tried, ["a", "b"], "left_anti"))
     others = cut_lineage(verify(cut_lineage(more, "other-pairs")), "other-links")
     return groups if others.isEmpty() else cut_lineage(connected_groups(links.union(others)), "groups")
+
+
+def _mixed_keys(live: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, node, root, main of the keys whose nodes are in more than one group; main is the group with most of them."""
+    placed = live.select("key", "node").join(groups, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("_m"), F.count("*").alias("_k")) \
+        .filter("_k > 1").select("key", F.col("_m.root").alias("main"))
+    return cut_lineage(placed.join(largest, "key"), "mixed-keys")
