@@ -18,8 +18,11 @@ def test_percentiles_match_linear_interpolation(spark):
                                                                             ("none", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     for ranges in (4, 64):
-        got = {(r.g, r.p): r.value for r in exact_percentiles(df, ["g"], "v", probs, ranges=ranges).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        got = {(r.g, r.p): r.value for r in exact_percentiles(df, ["g"], "v", probs).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
         assert {g for g, _ in got} == set(groups)
         for g, values in groups.items():
             for p in probs:
