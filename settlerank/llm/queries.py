@@ -80,7 +80,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_fuzzy_lines")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
+    return deduplicate_lines(_table(spark, sf_dir, "documents"), by="grams").select("doc_id", "text", "n_removed_lines")
 
 
 @query("op8_main_text")
