@@ -3,7 +3,8 @@
 Found in a text and replaced in place:
 
 * card numbers (13-19 digits, also in groups) whose check digit holds: the digits between the first and the check digit
-  are permuted and the check digit is set anew;
+  are permuted and the check digit is set anew. In a run of numbers with single blanks or hyphens between, every sub-run of
+  whole groups is tried: single groups first, then the usual groupings, then any other, the longest at each place first;
 * phone numbers with a leading ``+`` or a bracketed area code: all digits behind the country code are permuted;
 * IPv4 addresses with four valid octets: permuted among all addresses;
 * dates (``2021-03-04``, ``04/03/2021``, ``04.03.2021`` and the like) that exist, 1800 to 2199: permuted among those
@@ -24,12 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
-CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)" \
         r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
 ADDRESS = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-])"
 MAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A run of groups that starts with 13 digits or more and stops before a date, an address or a mail address. Possessive,
+#: so that a run of very many groups takes no stack.
+CARD = r"(?<![\w.+])(?<!\w-)(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -](?!" + f"{DATE}|{ADDRESS}|{MAIL}" + r")\d++(?!\w))*+"
+#: Lengths of groups that card numbers are usually written in.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 ANY = f"{MAIL}|{DATE}|{ADDRESS}|{PHONE}|{CARD}"
 
 #: Days in 400 years of the calendar, as a product for the two halves of the network.
@@ -101,6 +106,57 @@ def card(text: Column, key: str) -> Column:
     return _let(F.regexp_replace(text, r"\D", ""), lambda d: F.when(F.call_function("luhn_check", d), new(d)).otherwise(text))
 
 
+def cards(text: Column, key: str) -> Column:
+    """A run of digit groups with the valid card numbers in it replaced: struct of the text and of how many were.
+
+    Groups are taken from left to right, three times: a number found earlier is not cut by a later one.
+    """
+    whole, none = F.array(F.struct(F.split(text, "[ -]").alias("groups"), F.regexp_extract_all(text, F.lit("([ -])"), F.lit(1)).alias("gaps"))), \
+        F.array().cast("array<struct<a:int,k:int>>")
+
+    def find(groups: Column, taken: Column, usable) -> Column:
+        """``taken`` and the valid spans of k groups from a that ``usable`` lets pass."""
+        def step(state: Column, i: Column) -> Column:
+            def valid(k: Column) -> Column:
+                digits = F.array_join(F.slice(groups, i + 1, k), "")
+                free = ~F.exists(state["taken"], lambda s: (s["a"] < i + k) & (s["a"] + s["k"] > i))
+                return usable(F.slice(groups, i + 1, k)) & F.length(digits).between(13, 19) & free & F.call_function("luhn_check", digits)
+            spans = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), valid)
+            return F.transform(F.array(spans), lambda ks: F.when(F.size(ks) > 0, F.struct(F.concat(state["taken"], F.array(F.struct(
+                i.alias("a"), F.element_at(ks, -1).alias("k")))).alias("taken"))).otherwise(state))[0]
+        places = F.sequence(F.lit(0), F.size(groups) - 1)
+        return F.aggregate(places, F.struct(taken.alias("taken")), step)["taken"]
+
+    usual = [F.array(*[F.lit(n) for n in lengths]) for lengths in CARD_GROUPS]
+
+    def is_usual(span: Column) -> Column:
+        lengths, found = F.transform(span, lambda g: F.length(g)), F.lit(False)
+        for one in usual:
+            found = found | (lengths == one)
+        return found
+
+    def write(groups: Column, gaps: Column, spans: Column) -> Column:
+        pieces = F.zip_with(groups, gaps, lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
+
+        def step(state: Column, span: Column) -> Column:
+            before = F.array_join(F.slice(pieces, state["at"] + 1, span["a"] - state["at"]), "")
+            old = F.concat(F.array_join(F.slice(pieces, span["a"] + 1, span["k"] - 1), ""), F.get(groups, span["a"] + span["k"] - 1))
+            after = F.coalesce(F.get(gaps, span["a"] + span["k"] - 1), F.lit(""))
+            return _let(old, lambda o: _let(card(o, key), lambda new: F.struct(
+                F.concat(state["text"], before, new, after).alias("text"), (span["a"] + span["k"]).alias("at"),
+                (state["n"] + (o != new).cast("int")).alias("n"))))
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+        return _let(F.aggregate(F.array_sort(spans), start, step), lambda s: F.struct(
+            F.concat(s["text"], F.array_join(F.slice(pieces, s["at"] + 1, F.size(pieces)), "")).alias("text"), s["n"].alias("n")))
+
+    def new(run: Column) -> Column:
+        groups = run["groups"]
+        return _let(find(groups, none, lambda span: F.size(span) == 1), lambda one: _let(
+            find(groups, one, is_usual), lambda two: _let(find(groups, two, lambda span: F.lit(True)), lambda three: write(
+                groups, run["gaps"], three))))
+    return F.transform(whole, new)[0]
+
+
 def phone(text: Column, key: str) -> Column:
     code = F.regexp_extract(text, r"^\+\d{1,3}(?=\D)|^\+\d{1,2}", 0)
     rest = F.substring(text, F.length(code) + 1, F.length(text))
@@ -156,12 +212,13 @@ def mail(text: Column, key: str) -> Column:
 
 
 def pseudonym(match: Column, key: str) -> Column:
-    """What stands in for one match; a match that does not validate stands for itself."""
-    return F.when(match.contains("@"), mail(match, key)) \
-        .when(match.rlike(f"^(?:{DATE})$"), date(match, key)) \
-        .when(match.rlike(f"^(?:{ADDRESS})$"), address(match, key)) \
-        .when(match.rlike(r"^[+(]"), phone(match, key)) \
-        .otherwise(card(match, key))
+    """What stands in for one match (``text``) and how many values it replaces (``n``); what does not validate stands for itself."""
+    one = lambda value: _let(value, lambda v: F.struct(v.alias("text"), (v != match).cast("int").alias("n")))
+    return F.when(match.contains("@"), one(mail(match, key))) \
+        .when(match.rlike(f"^(?:{DATE})$"), one(date(match, key))) \
+        .when(match.rlike(f"^(?:{ADDRESS})$"), one(address(match, key))) \
+        .when(match.rlike(r"^[+(]"), one(phone(match, key))) \
+        .otherwise(cards(match, key))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -176,9 +233,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     out = docs.withColumn(matches, F.coalesce(found, F.array().cast("array<string>")))
     out = out.withColumn(gaps, F.when(F.size(matches) > 0, F.split(text, ANY, -1)))
     out = out.withColumn(new, F.transform(matches, lambda m: pseudonym(m, key)))
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(new)), new, lambda g, n: F.concat(g, n)), ""),
+    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(new)), new, lambda g, n: F.concat(g, n["text"])), ""),
                       F.element_at(gaps, -1))
-    changed = F.size(F.filter(F.arrays_zip(F.col(matches).alias("m"), F.col(new).alias("n")),
-                              lambda x: x["m"] != x["n"]))
+    changed = F.aggregate(F.col(new), F.lit(0), lambda total, n: total + n["n"])
     return out.withColumn(text_col, F.when(F.size(matches) > 0, joined).otherwise(text)) \
         .withColumn("n_pseudonyms", changed.cast("long")).drop(matches, gaps, new)

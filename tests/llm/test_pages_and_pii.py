@@ -190,3 +190,26 @@ def test_quality_stage_keeps_good_rows_without_an_id(spark):
     rows = [(None, good, "en", "s", 1), (None, None, "en", "s", 1), (1, good, "en", None, 1), (1, "short", "en", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.keep_good(spark, docs, "").collect()) == [(0, good), (1, good)]
+
+
+def test_card_numbers_beside_other_numbers(documents):
+    from settlerank.llm.pii import pseudonymise
+    texts = ["4041894974608795 123", "4041 8949 7460 8795 123", "12 4041894974608795", "page 7 4041894974608795",
+             "paid 40 4041 8949 7460 8795 on", "4041894974608795-", "4041-8949-7460-8795-123", "4041894974608795 2021-03-04",
+             "4041894974608795 10.20.30.40", "4041894974608795 12@example.com", "4041894974608795 4041894974608795", "4041894974608795 12kg",
+             "1 4041894974608795 2 4041 8949 7460 8795 3", "1111 4041894974608796 22", "-4041894974608795", "7 " * 20_000 + "4041894974608795"]
+    found = {r["doc_id"]: r for r in pseudonymise(documents([(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "key").collect()}
+    old = "4041894974608795"
+    new = found[5]["text"][:16]
+    assert new != old and luhn(new)
+    spaced = lambda c, gap: gap.join(c[i:i + 4] for i in range(0, 16, 4))
+    for i, text in enumerate(texts):
+        expected = text.replace(old, new)
+        for gap in " -":
+            expected = expected.replace(spaced(old, gap), spaced(new, gap))
+        if i in (7, 8, 9):                                  # the other value is replaced as well
+            assert found[i]["text"].startswith(new + " ") and text.split(" ")[1] not in found[i]["text"]
+        elif i != 13 and i != 15:
+            assert found[i]["text"] == expected, text
+    assert found[15]["text"].endswith(new) and old not in found[15]["text"]
+    assert [found[i]["n_pseudonyms"] for i in range(13)] == [1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 1, 2]
