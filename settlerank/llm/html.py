@@ -4,8 +4,10 @@ The markup is read leniently into a tree (unclosed paragraphs and list items end
 tags are ignored, an unclosed element ends with its parent). Elements that never hold main text (menus, headers,
 footers, asides, forms, scripts, ...) are left out, as are those whose class, id or role names one of these (adverts,
 notices, reader comments, ...). Each paragraph gives points for its length and its commas to its parent and half of
-them to its grandparent; a container's points are discounted by its link density. The best container is kept with the
-siblings that score well, or that are prose paragraphs with few links.
+them to its grandparent; a container's points are discounted by its link density. The main text is all of the article or
+main element around the best container, without blocks beside that container which are mostly links, and what lies beside
+that element and scores well or is prose or a heading. Where there is no such element, it is the outermost container around
+the best one that is no list of links, and all beside it but blocks of links.
 
 A null, empty or wordless page gives an empty text. Repeated rows each get a row; ties go to the container that comes
 first. Nothing is cut: a very long page is one string of one row. Clashing columns do not matter: the operator reads
@@ -48,6 +50,8 @@ _NAMED = re.compile(
     r"subscribe|subscription|sidebar|side-bar|rail|widget|widgets|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|"
     r"footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|pagination|pager|login|signup|"
     r"search|tags|skip|respond|replies|reactions|complementary|contentinfo|banner|dialog|form)(?:$|[\s_-])", re.I)
+#: Link density from which a block beside the main text is no part of it.
+_LINKED = 0.25
 _BODY = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|post|entry|story|text)(?:$|[\s_-])", re.I)
 _SCOPE = {"table", "td", "th", "body", "html", "article", "section", "main", "div", "aside", "nav", "header", "footer",
           "form", "blockquote", "figure", "details"}
@@ -259,15 +263,34 @@ def main_text(page: str | None) -> str:
     best = max(scored, key=lambda n: (value[id(n)], -order[id(n)]))
     if best.parent is None:
         return "\n".join(_blocks([best]))
-    least, kept = max(10.0, value[id(best)] * 0.2), []
-    for node in best.parent.children:
-        if isinstance(node, str) or node.dropped:
-            continue
+    least = max(10.0, value[id(best)] * 0.2)
+
+    def well(node: Node) -> bool:
         chars = sizes[id(node)][0]
-        prose = node.tag == "p" and (chars > 80 and density(node) < 0.25 or 0 < chars <= 80 and not density(node))
-        title = node.tag in _HEADING and density(node) < 0.25
-        if node is best or value.get(id(node), 0) >= least or prose or title:
-            kept.append(node)
+        prose = node.tag == "p" and (chars > 80 and density(node) < _LINKED or 0 < chars <= 80 and not density(node))
+        return value.get(id(node), 0) >= least or prose or node.tag in _HEADING and density(node) < _LINKED
+
+    def drop_links_beside(node: Node) -> None:
+        """Links within loose text are part of it."""
+        loose = any(isinstance(c, str) and not c.isspace() for c in node.parent.children)
+        for c in node.parent.children:
+            if isinstance(c, Node) and not c.dropped and c is not node and (c.tag in _BLOCK or not loose):
+                c.dropped = density(c) >= _LINKED and not well(c)
+
+    whole = best
+    while whole is not None and whole.tag not in ("article", "main"):
+        whole = whole.parent
+    node = best
+    if whole is None:
+        while node.parent.tag not in ("body", "html", "#root") and density(node.parent) < _LINKED:
+            drop_links_beside(node)
+            node = node.parent
+        drop_links_beside(node)
+        return "\n".join(_blocks([node.parent]))
+    while node is not whole:
+        drop_links_beside(node)
+        node = node.parent
+    kept = [c for c in whole.parent.children if isinstance(c, Node) and not c.dropped and (c is whole or well(c))]
     return "\n".join(_blocks(kept))
 
 

@@ -192,6 +192,24 @@ def test_quality_stage_keeps_good_rows_without_an_id(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.keep_good(spark, docs, "").collect()) == [(0, good), (1, good)]
 
 
+def test_main_text_keeps_all_of_the_article():
+    from settlerank.llm.html import main_text
+    long = "".join(f"<p>Paragraph {i}, {'a, b, c, d, ' * 2}{'word ' * 76}</p>" for i in range(10))
+    links = "<ul><li><a href=/x>One other page</a><li><a href=/y>And one more page</a></ul>"
+    rest = ("<ul><li>short item</ul><blockquote>short quote</blockquote><pre>code = 1</pre><table><tr><td>cell</table>"
+            "<figure><figcaption>a figure</figcaption></figure><section><p>short section</p></section>")
+    wanted = ["short item", "short quote", "code = 1", "cell", "a figure", "short section"]
+    for start, end in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div><section>", "</section></div>"), ("", "")):
+        for inner in ("div", "section"):
+            page = f"<body><nav>menu</nav>{start}<h1>Title</h1><{inner}>{long}</{inner}>{links}{rest}{end}<footer>foot</footer></body>"
+            found = main_text(page).split("\n")
+            assert found[0] == "Title" and len(found) == 17 and found[11:] == wanted, (start, inner)
+    nested = f"<article><h1>T</h1><section><div>{long}</div><p>after the div</p></section><section><pre>x</pre></section></article><div>beside</div>"
+    assert main_text(nested).split("\n")[11:] == ["after the div", "x"]
+    loose = f"<article><div>{long}</div>loose text with <a href=/x>a link</a> in it</article>"
+    assert main_text(loose).endswith("\nloose text with a link in it")
+
+
 def test_card_numbers_beside_other_numbers(documents):
     from settlerank.llm.pii import pseudonymise
     texts = ["4041894974608795 123", "4041 8949 7460 8795 123", "12 4041894974608795", "page 7 4041894974608795",
