@@ -207,6 +207,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   **names) -> DataFrame:
-    """The documents that overlap with no item; those with a null id are kept."""
-    found = find_contamination(docs, benchmark, id_col, text_col, **names).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti")
+    """The rows that overlap with no item, each judged by its own text, whatever its id."""
+    named = docs.withColumn("__row", F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("tag")))
+    found = find_contamination(named, benchmark, "__row", text_col, **names).select(F.col("__row").alias("__found")).distinct()
+    return named.join(found, F.col("__row").eqNullSafe(F.col("__found")), "left_anti").select(docs.columns)

@@ -231,3 +231,18 @@ def test_card_numbers_beside_other_numbers(documents):
             assert found[i]["text"] == expected, text
     assert found[15]["text"].endswith(new) and old not in found[15]["text"]
     assert [found[i]["n_pseudonyms"] for i in range(13)] == [1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 1, 2]
+
+
+def test_rows_are_judged_by_their_own_text(spark, dice, tmp_path):
+    import corpus_pipeline
+    prose = lambda n: " ".join(f"w{dice.randrange(500)}" for _ in range(n))
+    item, one, two, three = prose(20), prose(60), prose(60), prose(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    bad = one + " " + item
+    rows = docs([(None, bad), (None, one), (1, bad), (1, two), (1, two), (2, None), (None, None)])
+    found = [tuple(r) for r in corpus_pipeline.drop_contaminated(spark, rows, str(tmp_path)).collect()]
+    assert sorted(found, key=repr) == sorted([(None, one), (1, two), (1, two), (2, None), (None, None)], key=repr)
+    rows = docs([(None, one), (None, one), (3, one), (4, two), (4, two), (4, three), (5, two), (6, None), (None, None), (6, None)])
+    found = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, rows, "").collect()]
+    assert sorted(found, key=repr) == sorted([(None, one), (4, two), (4, three), (6, None), (6, None), (None, None)], key=repr)
