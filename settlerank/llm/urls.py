@@ -31,7 +31,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Words that label a host as unwanted for training.
 SEEDS = ["casino", "poker", "bets", "betting", "pills", "viagra", "porn", "adult", "xxx", "spam", "ads", "warez", "loans"]
 FEATURES = 1 << 16
-LONGEST_WORD = 20
+#: What a part of a host name can have.
+LONGEST_WORD = 63
 
 
 def host_of(url: Column) -> Column:
@@ -128,8 +129,8 @@ def feature(word: str) -> int:
 def _feature_ids(hosts: list[list[str] | None], paths: list[str]) -> list[np.ndarray]:
     out = []
     for words, path in zip(hosts, paths):
-        tokens = {f"h:{w}" for w in words or []}
-        tokens |= {f"p:{w}" for w in "".join(c if c.isalnum() else " " for c in path.lower()).split()}
+        tokens = [f"h:{w}" for w in words or []]
+        tokens += [f"p:{w}" for w in "".join(c if c.isalnum() else " " for c in path.lower()).split()]
         out.append(np.fromiter((feature(t) for t in tokens), np.int64, len(tokens)))
     return out
 

@@ -246,3 +246,12 @@ def test_rows_are_judged_by_their_own_text(spark, dice, tmp_path):
     rows = docs([(None, one), (None, one), (3, one), (4, two), (4, two), (4, three), (5, two), (6, None), (None, None), (6, None)])
     found = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, rows, "").collect()]
     assert sorted(found, key=repr) == sorted([(None, one), (4, two), (4, three), (6, None), (6, None), (None, None)], key=repr)
+
+
+def test_url_words_keep_their_number_and_length(spark):
+    from settlerank.llm.urls import _feature_ids, segment_hosts, word_counts
+    assert [len(x) for x in _feature_ids([["win", "win", "big"], None], ["/win/win/a", "/a/a"])] == [6, 2]
+    word = "internationalisationswerk"                         # 25 letters
+    pages = spark.createDataFrame([(f"www{word}.net", "/", f"<title>{word} www net</title>")] * 30, "_host string, _path string, _html string")
+    hosts = segment_hosts(pages.select("_host").distinct(), word_counts(pages)).first()
+    assert hosts["_words"] == ["www", word, "net"]
