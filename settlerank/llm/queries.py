@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from settlerank.llm.html import extract_main_text
 from settlerank.llm.lines import deduplicate_lines
+from settlerank.llm.manifest import manifest, verified_rows
 from settlerank.llm.pieces import decode_pieces, encode_pieces
 from settlerank.llm.pii import pseudonymise
 from settlerank.llm.records import read_records, write_records
@@ -148,3 +149,61 @@ FROM judged LEFT JOIN rates USING (source)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+
+OP11_SQL = r"""
+WITH RECURSIVE enc AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') ||
+         coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+         xor(4294967295, list_reduce([4294967295] || [ascii(c) FOR c IN string_split(doc_id::VARCHAR, '')],
+           lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 3 = 0 AS changed
+  FROM documents),
+hashed AS MATERIALIZED (
+  SELECT doc_id, g, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN changed THEN sha256(front || coalesce(strlen(text) || ':' ||
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS low
+  FROM enc),
+leaf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+tree AS (
+  SELECT g, 0 AS h, i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM leaf
+  UNION ALL
+  SELECT g, h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY g, h, i // 8),
+tops AS MATERIALIZED (SELECT g, h, d, row_number() OVER (ORDER BY g) - 1 AS i FROM tree WHERE n = 1),
+top_tree AS (
+  SELECT 0 AS h, i, d, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT h + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM top_tree WHERE n > 1 GROUP BY h, i // 8),
+runs AS MATERIALIZED (
+  SELECT g, h, i // 8 AS run, list(d ORDER BY i) AS ds FROM tree WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT NULL, h, i // 8, list(d ORDER BY i) FROM top_tree WHERE n > 1 GROUP BY ALL),
+place AS (
+  SELECT leaf.g, leaf.i, r.h, leaf.i // (8 ^ r.h)::BIGINT % 8 AS pos, ds
+  FROM leaf JOIN runs r ON r.g = leaf.g AND r.run = leaf.i // (8 ^ (r.h + 1))::BIGINT
+  UNION ALL
+  SELECT leaf.g, leaf.i, tops.h + r.h, tops.i // (8 ^ r.h)::BIGINT % 8, ds
+  FROM leaf JOIN tops ON tops.g = leaf.g JOIN runs r ON r.g IS NULL AND r.run = tops.i // (8 ^ (r.h + 1))::BIGINT),
+side AS MATERIALIZED (
+  SELECT g, i, h, array_to_string(ds[1:pos], '') AS l, array_to_string(ds[pos + 2:], '') AS r FROM place),
+proof AS (SELECT g, i, sha256(string_agg(l || r, '' ORDER BY h)) AS proof_sha256 FROM side GROUP BY g, i),
+fold AS (
+  SELECT g, i, 0 AS h, coalesce(low, leaf) AS d FROM leaf
+  UNION ALL
+  SELECT g, i, h + 1, sha256(l || d || r) FROM fold JOIN side USING (g, i, h)),
+folded AS (SELECT g, i, arg_max(d, h) AS d FROM fold GROUP BY g, i),
+root AS (SELECT d FROM top_tree WHERE n = 1)
+SELECT doc_id, leaf, tops.d AS subroot, root.d AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+       folded.d AS folded_root, folded.d = root.d AS verified
+FROM leaf JOIN tops ON tops.g = leaf.g CROSS JOIN root JOIN folded ON folded.g = leaf.g AND folded.i = leaf.i
+LEFT JOIN proof ON proof.g = leaf.g AND proof.i = leaf.i
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows is checked in a changed form: with the text's A-Z in lower case."""
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return verified_rows(manifest(_table(spark, sf_dir, "documents"), other={"text": low}, where=changed))
