@@ -17,6 +17,7 @@ from settlerank.llm.seeds import find_contamination
 from settlerank.llm.setjoin import jaccard_groups
 from settlerank.llm.tokens import new_cache, token_counts
 from settlerank.llm.urls import url_filter
+from settlerank.llm.whitening import fit, whiten
 from settlerank.session import shared_folder
 
 QUERIES: dict[str, object] = {}
@@ -207,3 +208,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     return verified_rows(manifest(_table(spark, sf_dir, "documents"), other={"text": low}, where=changed))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return whiten(rows, fit(rows))
