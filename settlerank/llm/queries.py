@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from settlerank.llm.fingerprints import edited_fingerprints
 from settlerank.llm.html import extract_main_text
 from settlerank.llm.lines import deduplicate_lines
 from settlerank.llm.manifest import manifest, verified_rows
@@ -214,3 +215,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return whiten(rows, fit(rows))
+
+
+@query("op13_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
