@@ -32,6 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from settlerank.operators.lsh import Hyperplanes, matrix, meeting_rows, tuned_probes
 from settlerank.operators.ranking import top_k
 from settlerank.session import cut_lineage
 
@@ -84,14 +85,14 @@ class Block:
     @classmethod
     def of(cls, *frames: pd.DataFrame) -> list["Block"]:
         """Blocks of several frames with one common numbering of each category column."""
-        codes = [_matrix(f["codes"], object) for f in frames]
+        codes = [matrix(f["codes"], object) for f in frames]
         width, ends = codes[0].shape[1], np.cumsum([len(f) for f in frames])
         both = np.concatenate([c.reshape(len(f), width) for c, f in zip(codes, frames)])
         coded = np.empty(both.shape, dtype=np.int64)
         for j in range(width):
             coded[:, j] = pd.factorize(both[:, j])[0]
         parts = np.split(coded, ends[:-1])
-        return [cls(c, _matrix(f["numbers"], float)) for c, f in zip(parts, frames)]
+        return [cls(c, matrix(f["numbers"], float)) for c, f in zip(parts, frames)]
 
     def rows(self, start: int, stop: int) -> "Block":
         return Block(self.codes[start:stop], self.numbers[start:stop])
@@ -103,11 +104,6 @@ class Block:
         return out
 
 
-def _matrix(column: pd.Series, dtype) -> np.ndarray:
-    rows = column.to_numpy()
-    return np.array(rows.tolist(), dtype=dtype).reshape(len(rows), -1) if len(rows) else np.empty((0, 0), dtype=dtype)
-
-
 def best_in_block(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of the k largest rounded values per row; equal values go to the smaller column.
 
@@ -168,21 +164,34 @@ def _kth_distance(placed: DataFrame, k: int) -> DataFrame:
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, space: CosineSpace = CosineSpace(),
             group: str | None = None, exclude_self: bool = False, n_cells: int | None = None,
-            query_chunk: int = 1024, train_chunk: int = 16384) -> DataFrame:
+            query_chunk: int = 1024, train_chunk: int = 16384, method: str = "exact",
+            planes: Hyperplanes | None = None, target_recall: float = 0.95) -> DataFrame:
     """(group?, node_id, neighbour_id, similarity, rank) for the k most similar training rows of each query.
 
     Both inputs have node_id, codes and numbers. With ``group`` neighbours are sought inside the same
     group value only. ``exclude_self`` leaves out the training row with the query's own id.
+
+    ``method="lsh"`` compares each query only with the rows that share a bucket of random hyperplanes with it, and may miss
+    some; without ``planes``, their bits follow the number of rows and their probes are tuned on a sample of queries
+    to ``target_recall``. The default finds all.
     """
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"unknown method {method!r}")
     depth = k + 1 if exclude_self else k
     asked = _profiles(queries, group).withColumn("profile", F.concat_ws("|", "grp", "profile"))
     reps = top_k(_profiles(train, group), ["grp", "profile"], [F.asc("node_id")], depth, "rn").drop("rn", "profile")
     reps = cut_lineage(reps)
     points = cut_lineage(asked.groupBy("grp", "profile").agg(F.first("codes").alias("codes"),
                                                              F.first("numbers").alias("numbers")))
-    width = points.agg(F.max(F.size("codes"))).first()[0] or 0
-    search = _by_category if width else _search
-    best = search(points, reps, depth, space, n_cells, query_chunk, train_chunk)
+    if method == "lsh":
+        if planes is None:
+            planes = Hyperplanes().for_rows(reps.count() // max(1, reps.select("grp").distinct().count()))
+            planes = tuned_probes(queries, train, depth, space, planes, target_recall, group=group)
+        best = _search(*meeting_rows(points, reps, space, planes), depth, space, 1, query_chunk, train_chunk)
+    else:
+        width = points.agg(F.max(F.size("codes"))).first()[0] or 0
+        search = _by_category if width else _search
+        best = search(points, reps, depth, space, n_cells, query_chunk, train_chunk)
     order = [F.desc("similarity"), F.asc("neighbour_id")]
     result = asked.select("grp", "node_id", "profile").join(best, "profile")
     if exclude_self:

@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from settlerank.config import COLDSTART, FIRST_GENERATION, Settings
-from settlerank.operators import candidates, evaluation, knn, models, ranking, scoring
+from settlerank.operators import candidates, evaluation, knn, lsh, models, ranking, scoring
 from settlerank.operators.encoder import AttributeEncoder, fold_rare, rare_values
 from settlerank.operators.percentiles import long_values
 from settlerank.plans.catalog.joins import EMBEDDING_NEAR, SAME_BUSINESS, same_business_neighbours
@@ -14,6 +14,7 @@ from settlerank.plans.flow import flow_of
 from settlerank.plans.recommend import Recommender
 from settlerank.plans.registry import query
 from settlerank.plans.twins import twin
+from settlerank.session import cut_lineage
 from settlerank.sources import tables
 
 #: All trees of the library are allowed; a larger step and less patience let early stopping end the fits sooner.
@@ -109,6 +110,16 @@ def m06(spark, sf):
                                           F.round("similarity", 6).alias("similarity"))
 
 
+@query("q_m06_hyperplane_neighbours", """
+    SELECT count(*) AS queries, 15 * count(*) AS wanted, TRUE AS recall_reached FROM embeddings WHERE embedding IS NOT NULL""")
+def m06_planes(spark, sf):
+    """The 15 nearest of every vector by hyperplane tables, held against the exact ones."""
+    vectors = cut_lineage(knn.dense_vectors(tables.table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    found = knn.nearest(vectors, vectors, 15, method="lsh")
+    measured = lsh.recall_of(found, knn.nearest(vectors, vectors, 15))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("q_m06_pruned_dense_neighbours", EMBEDDING_NEAR)
 def m06_pruned(spark, sf):
     """The same search with many cells and small chunks, as it runs on large inputs."""
