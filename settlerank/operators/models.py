@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,13 +74,25 @@ def best_round(errors: Sequence[float], patience: int) -> int:
     return best + 1
 
 
+def first_trees(fitted: GBTRegressionModel, keep: int) -> GBTRegressionModel:
+    """The ensemble cut after its first trees; each tree was fitted on what the earlier ones left, so nothing is fitted again."""
+    inner = fitted._java_obj
+    gateway = SparkContext._active_spark_context._gateway
+    ml = gateway.jvm.org.apache.spark.ml.regression
+    trees, weights = gateway.new_array(ml.DecisionTreeRegressionModel, keep), gateway.new_array(gateway.jvm.double, keep)
+    for at, (tree, weight) in enumerate(zip(list(inner.trees())[:keep], fitted.treeWeights)):
+        trees[at], weights[at] = tree, float(weight)
+    cut = GBTRegressionModel(ml.GBTRegressionModel(inner.uid(), trees, weights, inner.numFeatures()))
+    return cut.setFeaturesCol(fitted.getFeaturesCol()).setPredictionCol(fitted.getPredictionCol())
+
+
 def fit_amount(train: DataFrame, target: str, cats: Sequence[str], nums: Sequence[str], settings: Settings,
                log_target: bool = False, domain: DataFrame | None = None) -> AmountModel:
     """Boosted trees, stopped early by the error on a fixed random slice of the training rows.
 
     Rounds are fitted on the other rows and the error after each is taken on the slice, until ``settings.patience`` rounds
     bring no gain or all are used; the number of rounds doubles, so that a model that stops early is not fitted to the end. The
-    model keeps the trees up to the best round; trees depend on the earlier ones only. The indexer marks its outputs as
+    model keeps the trees up to the best round (``first_trees``). The indexer marks its outputs as
     nominal, so the trees split categories as sets.
     """
     label = F.log1p(F.greatest(target, F.lit(0.0))) if log_target else F.col(target)
@@ -110,5 +123,5 @@ def fit_amount(train: DataFrame, target: str, cats: Sequence[str], nums: Sequenc
                 break
             rounds = min(2 * rounds, settings.n_trees)
         if keep < rounds:
-            fitted = trainer.copy({trainer.maxIter: keep}).fit(seen)
+            fitted = first_trees(fitted, keep)
     return AmountModel(PipelineModel(stages=[*prepared.stages, fitted]), target, log_target)

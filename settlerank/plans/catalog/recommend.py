@@ -336,6 +336,20 @@ def m22(spark, sf):
     return ranked_rows(coldstart(spark, sf, replace(COLDSTART, learning_rate=0.3, patience=10)).by_model())
 
 
+@query("q_m22_signature_scoring", twin(COLD + """
+    SELECT 3 * count(*) AS ranked_rows, 3 * count(*) AS equal_rows, TRUE AS no_more_than_pairs FROM ctruth""",
+                                      "stats", "train", "truth", "segs"))
+def m22_signatures(spark, sf):
+    """The model's ranking from scored signatures, held against scoring every pair."""
+    plan = coldstart(spark, sf, replace(COLDSTART, learning_rate=0.3, patience=10))
+    found, pairs = plan.by_model(), plan.by_model_pairs()
+    keys = ["node_id", "rank", "business", "score"]
+    sizes = plan.signature_pool.sizes()
+    fewer = sizes["pairs_scored"] <= sizes["nodes"] * plan.support.count()
+    equal = found.select(*keys).join(pairs.select(*keys), keys, "left_semi").agg(F.count("*").alias("equal_rows"))
+    return found.agg(F.count("*").alias("ranked_rows")).join(equal, F.lit(True)).withColumn("no_more_than_pairs", F.lit(fewer))
+
+
 # -- end to end ------------------------------------------------------------------------------------------------
 
 @query("q_m23_wide_recommendations", twin("""
