@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from settlerank.operators import candidates, evaluation, ledger, ranking, reports, stats
+from settlerank.operators.daystore import DayStore
 from settlerank.plans.catalog.columns import FAMILIES, MISSING, sparse_attrs, two_runs
 from settlerank.plans.catalog.joins import PAIR_BW
 from settlerank.plans.flow import flow_of
 from settlerank.plans.registry import query
 from settlerank.plans.twins import twin
+from settlerank.session import cut_lineage, stage_path
 from settlerank.sources import tables
 
 
@@ -58,6 +60,23 @@ def a05(spark, sf):
         F.round("cum_revenue_7d", 2).alias("cum_revenue_7d"))
 
 
+@query("q_a05_ledger_by_days", twin("""
+    SELECT node_id, business, strftime(business_online_day, '%Y-%m-%d') AS business_online_day,
+           CAST(outcome_days AS INT) AS outcome_days, round(cum_cost_7d, 2) AS cum_cost_7d,
+           round(cum_revenue_7d, 2) AS cum_revenue_7d FROM led7""", "led7"))
+def a05_by_days(spark, sf):
+    """The same ledger from a day store that takes in three parts, the last one first."""
+    daily = cut_lineage(tables.daily_settlement(spark, sf).select("node_id", "business", "day", "cost", "revenue"), "daily")
+    low, high = daily.agg(F.min("day"), F.max("day")).first()
+    third, store = (high - low) // 3, DayStore(spark, stage_path(spark, "day-store"))
+    day, ends = F.col("day"), (low + third, low + 2 * third)
+    for part in (day >= F.lit(ends[1]), day < F.lit(ends[0]), (day >= F.lit(ends[0])) & (day < F.lit(ends[1]))):
+        store.load(daily.where(part))
+    return store.ledger.select("node_id", "business", F.date_format("business_online_day", "yyyy-MM-dd").alias(
+        "business_online_day"), "outcome_days", F.round("cum_cost_7d", 2).alias("cum_cost_7d"),
+        F.round("cum_revenue_7d", 2).alias("cum_revenue_7d"))
+
+
 @query("q_a06_ledger_scale", twin("""
     SELECT count(*) AS full_pairs, count(DISTINCT node_id) AS full_nodes, count(DISTINCT business) AS businesses
     FROM led7 WHERE outcome_days >= 3""", "led7"))
