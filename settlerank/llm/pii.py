@@ -5,7 +5,8 @@ Found in a text and replaced in place:
 * card numbers (13-19 digits, also in groups) whose check digit holds: the digits between the first and the check digit
   are permuted and the check digit is set anew. In a run of numbers with single blanks or hyphens between, every sub-run of
   whole groups is tried: single groups first, then the usual groupings, then any other, the longest at each place first;
-* phone numbers with a leading ``+`` or a bracketed area code: all digits behind the country code are permuted;
+* phone numbers with a leading ``+`` or a bracketed area code: all digits behind the country code are permuted, in every form of one
+  number alike;
 * IPv4 addresses with four valid octets: permuted among all addresses;
 * dates (``2021-03-04``, ``04/03/2021``, ``04.03.2021`` and the like) that exist, 1800 to 2199: permuted among those
   400 years, written in the same form;
@@ -29,10 +30,16 @@ PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{
         r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
 ADDRESS = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-])"
-MAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_NAME = r"[\p{L}\p{N}._%+-]"
+_MAIL = _NAME + r"{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,63}+"
+#: Names of up to 64 characters and domains of up to 127 labels, as the standards have it. A name starts where no name character
+#: precedes and is never given back, so a long run of letters is read once, and the labels' number bounds the stack.
+MAIL = f"(?<!{_NAME})" + _MAIL
 #: A run of groups that starts with 13 digits or more and stops before a date, an address or a mail address. Possessive,
 #: so that a run of very many groups takes no stack.
-CARD = r"(?<![\w.+])(?<!\w-)(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -](?!" + f"{DATE}|{ADDRESS}|{MAIL}" + r")\d++(?!\w))*+"
+CARD = r"(?<![\w.+])(?<!\w-)(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -](?!" + f"{DATE}|{ADDRESS}|{_MAIL}" + r")\d++(?!\w))*+"
+#: The country codes of one and of two digits; all others have three.
+COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Lengths of groups that card numbers are usually written in.
 CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 ANY = f"{MAIL}|{DATE}|{ADDRESS}|{PHONE}|{CARD}"
@@ -158,9 +165,12 @@ def cards(text: Column, key: str) -> Column:
 
 
 def phone(text: Column, key: str) -> Column:
-    code = F.regexp_extract(text, r"^\+\d{1,3}(?=\D)|^\+\d{1,2}", 0)
-    rest = F.substring(text, F.length(code) + 1, F.length(text))
-    return F.concat(code, refill(rest, permute_digits(F.regexp_replace(rest, r"\D", ""), key, F.lit("phone"))))
+    """The country code is told from the digits alone, so every form of one number gets the same digits."""
+    def new(digits: Column) -> Column:
+        code = F.when(text.startswith("+"), F.regexp_extract(digits, COUNTRY_CODE, 0)).otherwise(F.lit(""))
+        return _let(code, lambda c: refill(text, F.concat(c, permute_digits(
+            F.substring(digits, F.length(c) + 1, F.length(digits)), key, F.lit("phone")))))
+    return _let(F.regexp_replace(text, r"\D", ""), new)
 
 
 def address(text: Column, key: str) -> Column:

@@ -255,3 +255,28 @@ def test_url_words_keep_their_number_and_length(spark):
     pages = spark.createDataFrame([(f"www{word}.net", "/", f"<title>{word} www net</title>")] * 30, "_host string, _path string, _html string")
     hosts = segment_hosts(pages.select("_host").distinct(), word_counts(pages)).first()
     assert hosts["_words"] == ["www", word, "net"]
+
+
+def test_long_runs_and_many_labels(documents):
+    """One search through a text: no stack that grows with it, no search from every place of a run."""
+    import time
+    from settlerank.llm.pii import pseudonymise
+    texts = ["a" * 1_000_000 + " x@example.com", "x@" + "bc." * 50_000 + "com", "1" * 200_000, "a.b-" * 100_000, "+1" * 100_000,
+             "me@" + "a-" * 50_000 + ".com", "@" * 100_000, "a@" * 50_000 + "b.org"]
+    start = time.time()
+    found = {r["doc_id"]: r for r in pseudonymise(documents([(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "key").collect()}
+    assert time.time() - start < 60
+    assert found[0]["n_pseudonyms"] == 1 and found[0]["text"].endswith("@example.com") and " x@" not in found[0]["text"]
+    assert all(len(found[i]["text"]) == len(t) for i, t in enumerate(texts))
+
+
+def test_forms_of_one_phone_number_are_linked(documents):
+    import re
+    from settlerank.llm.pii import pseudonymise
+    forms = ["+1 555 123 4567", "+15551234567", "+1-555-123-4567", "+1 (555) 123 4567", "+1.555.123.4567"]
+    other = ["+44 20 7946 0958", "+442079460958", "+353 12 345 678", "+35312345678"]
+    texts = {r["doc_id"]: r["text"] for r in pseudonymise(documents([(i, t, "en", "s", 1) for i, t in enumerate(forms + other)]), "k").collect()}
+    digits = [re.sub(r"\D", "", texts[i]) for i in range(len(texts))]
+    assert len(set(digits[:5])) == 1 and digits[0].startswith("1") and digits[0] != "15551234567"
+    assert digits[5] == digits[6] and digits[5].startswith("44") and digits[7] == digits[8] and digits[7].startswith("353")
+    assert all(re.sub(r"\d", "0", texts[i]) == re.sub(r"\d", "0", t) for i, t in enumerate(forms + other))
