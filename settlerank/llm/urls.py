@@ -6,7 +6,8 @@
    cost more than any word). Candidates come from joining the substrings of host names to the word counts, so no
    vocabulary is cut or sent around.
 3. Seed words in a segmented host label it as blocked, the other hosts are the background. The multinomial model counts
-   hashed words (``FEATURES`` buckets, so its size is fixed) of hosts and paths over all pages, smoothed by one.
+   hashed words (``FEATURES`` buckets, so its size is fixed) of hosts and paths over all pages, smoothed by one over the buckets
+   that occur; with rows of one kind only, no url is blocked by it.
 4. The sum of log odds of a url's words decides where no rule does.
 
 Null urls, or such without ``://``, have an empty host and path; nothing fits them and they are allowed. Repeated rows each
@@ -126,27 +127,34 @@ def feature(word: str) -> int:
     return xxhash.xxh32_intdigest(word.encode()) % FEATURES
 
 
-def _feature_ids(hosts: list[list[str] | None], paths: list[str]) -> list[np.ndarray]:
-    out = []
-    for words, path in zip(hosts, paths):
-        tokens = [f"h:{w}" for w in words or []]
-        tokens += [f"p:{w}" for w in "".join(c if c.isalnum() else " " for c in path.lower()).split()]
-        out.append(np.fromiter((feature(t) for t in tokens), np.int64, len(tokens)))
-    return out
+def url_tokens(words: list[str] | None, path: str, left_out: frozenset[str] | set[str] = frozenset()) -> list[str]:
+    """The features of a url. Numbers in a path are one token, since each page has its own."""
+    cut = "".join(c if c.isalnum() else " " for c in path.lower()).split()
+    return [f"h:{w}" for w in words or [] if w not in left_out] + ["p:#" if w.isdigit() else f"p:{w}" for w in cut]
 
 
-def train(rows: DataFrame, seeds: list[str] = SEEDS) -> tuple[np.ndarray, float]:
+def _feature_ids(hosts: list[list[str] | None], paths: list[str], left_out: frozenset[str] = frozenset()) -> list[np.ndarray]:
+    found = [url_tokens(words, path, left_out) for words, path in zip(hosts, paths)]
+    return [np.fromiter((feature(t) for t in tokens), np.int64, len(tokens)) for tokens in found]
+
+
+def train(rows: DataFrame, seeds: list[str] = SEEDS, seed_features: bool = True) -> tuple[np.ndarray, float]:
     """Log odds (blocked to allowed) of each feature bucket, and of the classes, from all rows.
 
+    Counts are smoothed by one over the buckets that occur; others have no say. Without ``seed_features`` the seeds label
+    rows but are not features, so that what is learned comes from the words beside them. Without rows of both kinds nothing can be told
+    apart, and all log odds are 0.
+
     Tasks add up their rows into the fixed buckets before the shuffle; the driver gets at most 2 x FEATURES + 2 sums.
     """
     marked = set(seeds)
+    left_out = frozenset() if seed_features else frozenset(seeds)
 
     def count(batches):
         sums, docs = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
         for batch in parts(batches):
             hosts = batch.column(0).to_pylist()
-            for words, ids in zip(hosts, _feature_ids(hosts, plain(batch.column(1)).to_pylist())):
+            for words, ids in zip(hosts, _feature_ids(hosts, plain(batch.column(1)).to_pylist(), left_out)):
                 kind = int(not marked.isdisjoint(words or []))
                 np.add.at(sums[kind], ids, 1)
                 docs[kind] += 1
@@ -158,18 +166,22 @@ def train(rows: DataFrame, seeds: list[str] = SEEDS) -> tuple[np.ndarray, float]
 
     found = (rows.select("_words", "_path").mapInArrow(count, "kind int, bucket int, n long")
              .groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect())
-    sums, docs = np.ones((2, FEATURES)), np.ones(2)
+    sums, docs = np.zeros((2, FEATURES)), np.zeros(2)
     for r in found:
         if r["bucket"] < 0:
             docs[r["kind"]] += r["n"]
         else:
             sums[r["kind"], r["bucket"]] += r["n"]
-    odds = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    if not docs.all():
+        return np.zeros(FEATURES, np.float32), float(-np.inf if docs[0] else 0.0)
+    occurs = sums.sum(axis=0) > 0
+    share = (sums + 1) / (sums.sum(axis=1, keepdims=True) + occurs.sum())
+    odds = np.where(occurs, np.log(share[1]) - np.log(share[0]), 0.0)
     return odds.astype(np.float32), float(np.log(docs[1] / docs[0]))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEEDS,
-               id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+               id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seed_features: bool = True) -> DataFrame:
     """id, host, path, rule, verdict, the words of the host and the score of every row."""
     from settlerank.session import cut_lineage
     spark = pages.sparkSession
@@ -177,12 +189,13 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seed
                         path_of(pages[url_col]).alias("_path"), pages[html_col].alias("_html"))
     hosts = cut_lineage(segment_hosts(rows.select("_host").distinct(), word_counts(rows)), "hosts")
     cut = rows.drop("_html").join(hosts, "_host", "left")
-    odds, prior = train(cut, seeds)
+    odds, prior = train(cut, seeds, seed_features)
+    left_out = frozenset() if seed_features else frozenset(seeds)
     model = spark.sparkContext.broadcast(odds)                  # FEATURES numbers, whatever the input
 
     def score(batches):
         for batch in parts(batches):
-            ids = _feature_ids(batch.column(2).to_pylist(), plain(batch.column(1)).to_pylist())
+            ids = _feature_ids(batch.column(2).to_pylist(), plain(batch.column(1)).to_pylist(), left_out)
             scores = [float(model.value[x].sum() + prior) if len(x) else prior for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())],
                                              ["_host", "_path", "_words", "_id", "score"])

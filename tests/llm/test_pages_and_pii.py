@@ -280,3 +280,33 @@ def test_forms_of_one_phone_number_are_linked(documents):
     assert len(set(digits[:5])) == 1 and digits[0].startswith("1") and digits[0] != "15551234567"
     assert digits[5] == digits[6] and digits[5].startswith("44") and digits[7] == digits[8] and digits[7].startswith("353")
     assert all(re.sub(r"\d", "0", texts[i]) == re.sub(r"\d", "0", t) for i, t in enumerate(forms + other))
+
+
+def test_log_odds_equal_plain_counts(spark, dice):
+    import math
+    from settlerank.llm.urls import feature, train, url_tokens
+    words = ["casino", "win", "free", "garden", "music", "tools"]
+    rows = [([dice.choice(words) for _ in range(dice.randrange(1, 4))], f"/{dice.choice(words)}/{dice.randrange(99)}/a-b") for _ in range(300)]
+    for keep in (True, False):
+        odds, prior = train(spark.createDataFrame(rows, "_words array<string>, _path string"), ["casino"], keep)
+        counts, docs = ({}, {}), [0, 0]
+        for host, path in rows:
+            kind = int("casino" in host)
+            docs[kind] += 1
+            for t in url_tokens(host, path, set() if keep else {"casino"}):
+                counts[kind][feature(t)] = counts[kind].get(feature(t), 0) + 1
+        seen = set(counts[0]) | set(counts[1])
+        share = lambda k, f: (counts[k].get(f, 0) + 1) / (sum(counts[k].values()) + len(seen))
+        assert math.isclose(prior, math.log(docs[1] / docs[0])) and not any(odds[f] for f in set(range(1 << 16)) - seen)
+        assert all(math.isclose(odds[f], math.log(share(1, f) / share(0, f)), rel_tol=1e-4, abs_tol=1e-5) for f in seen)
+
+
+@pytest.mark.parametrize("seed_features", [True, False])
+def test_model_blocks_unwanted_hosts_of_the_pages(spark, seed_features):
+    """On the given pages the model blocks the hosts with unwanted names where no rule decides, and no other."""
+    import re
+    from settlerank.llm.urls import SEEDS, url_filter
+    rows = url_filter(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), seed_features=seed_features).filter("rule IS NULL").collect()
+    unwanted = lambda r: bool(set(re.split(r"[.-]", r["host"])) & set(SEEDS))
+    assert sum(map(unwanted, rows)) > 50
+    assert all((r["verdict"] == "block") == unwanted(r) for r in rows)
