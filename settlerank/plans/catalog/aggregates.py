@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from settlerank.operators import candidates, evaluation, ledger, ranking, reports, stats
+from settlerank.operators import candidates, daybits, evaluation, ledger, ranking, reports, stats
 from settlerank.operators.daystore import DayStore
 from settlerank.plans.catalog.columns import FAMILIES, MISSING, sparse_attrs, two_runs
 from settlerank.plans.catalog.joins import PAIR_BW
@@ -382,3 +382,19 @@ def a33(spark, sf):
            count(DISTINCT CASE WHEN starts_with(node_id, '1') THEN node_id END) AS n_prefix_nodes FROM daily""", "daily"))
 def a34(spark, sf):
     return reports.prefix_counts(tables.daily_settlement(spark, sf), "1")
+
+
+@query("q_a34_distinct_by_day_bitmaps", twin("""
+    SELECT business, count(DISTINCT node_id) AS n_nodes,
+           count(DISTINCT CASE WHEN day < DATE '2026-01-01' OR day(day) <= 15 THEN node_id END) AS n_some_days
+    FROM daily GROUP BY 1""", "daily"))
+def a34_bitmaps(spark, sf):
+    """Distinct nodes per business over all days and over some, from bitmaps that are stored by day and merged."""
+    daily = cut_lineage(tables.daily_settlement(spark, sf).select("node_id", "business", "day"), "daily")
+    path = stage_path(spark, "day-bitmaps")
+    daybits.day_bitmaps(daily, daybits.numbered_ids(daily), ["business"]).write.partitionBy("day").parquet(path)
+    stored = spark.read.parquet(path)
+    some = (F.col("day") < F.lit("2026-01-01").cast("date")) | (F.dayofmonth("day") <= 15)
+    every = daybits.merged_counts(stored, ["business"], name="n_nodes")
+    part = daybits.merged_counts(stored, ["business"], some, "n_some_days")
+    return every.join(part, "business", "left").select("business", "n_nodes", F.coalesce("n_some_days", F.lit(0)).alias("n_some_days"))

@@ -9,7 +9,8 @@ from settlerank.plans.catalog.columns import MISSING, sparse_attrs
 from settlerank.plans.flow import flow_of
 from settlerank.plans.registry import query
 from settlerank.plans.twins import twin
-from settlerank.sources import tables
+from settlerank.session import stage_path
+from settlerank.sources import files, metrics, tables
 
 
 @query("q_q01_required_columns", twin("""
@@ -174,3 +175,19 @@ def current_cells(spark, sf):
                         F.coalesce("days", share_flag(F.col("current") != "—")).cast("long").alias("days"))
 
 
+@query("q_q03_metrics_by_path", twin("""
+    ,m AS (SELECT avg(hit1) AS h1, avg(hit3) AS h3, count(*) AS n FROM hits_off)
+    SELECT 'test.n' AS metric, (SELECT n FROM m)::DOUBLE AS value, TRUE AS passed UNION ALL
+    SELECT 'rates.0.value', round((SELECT h1 FROM m), 4), (SELECT h1 FROM m) <= 0.5 UNION ALL
+    SELECT 'rates.1.value', round((SELECT h3 FROM m), 4), (SELECT h3 FROM m) >= 0.9 UNION ALL
+    SELECT 'rates.0.name', NULL, FALSE UNION ALL SELECT 'test.wape', NULL, FALSE""", "hits_off"))
+def q03_by_path(spark, sf):
+    """A metrics document of any shape is read back and checked by dotted paths; a missing path and a text fail."""
+    flow = flow_of(spark, sf)
+    rates = evaluation.hit_rates(evaluation.hits(flow.recs("score_off"), flow.truth))
+    document = rates.select(F.struct(F.col("n")).alias("test"), F.array(
+        F.struct(F.lit("hit1").alias("name"), F.col("hit_at_1").alias("value")),
+        F.struct(F.lit("hit3").alias("name"), F.col("hit_at_3").alias("value"))).alias("rates"))
+    path = files.write_metrics_json(document, stage_path(spark, "metrics_by_path"))
+    expected = [("test.n", 1, 1e12), ("rates.0.value", 0, 0.5), ("rates.1.value", 0.9, 1), ("rates.0.name", 0, 1), ("test.wape", 0, 1)]
+    return metrics.within(metrics.read_metrics(spark, path), expected).select("metric", F.round("value", 4).alias("value"), "passed")

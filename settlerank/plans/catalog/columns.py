@@ -7,6 +7,7 @@ from settlerank.functions import (any_of, business_id, capacity_penalty, clipped
                                   positive_flag, positive_or_null, profit_of, ratio_or_null, rounded_money,
                                   rounded_rate, segment_key, share_flag, streak_label, to_day, to_number, unpiped,
                                   utilisation_aux, zero_filled)
+from settlerank.functions.sql_functions import register_functions
 from settlerank.operators import evaluation, ledger, ranking, reports, scoring, split, stats
 from settlerank.plans.flow import flow_of
 from settlerank.plans.registry import query
@@ -415,3 +416,22 @@ def f14(spark, sf):
         "node_id", "true_best")
 
 
+@query("q_p_sql_functions", """
+    SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS business, CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS amount,
+           CASE p_brand WHEN 'Brand#1' THEN 'FAM1' WHEN 'Brand#2' THEN 'FAM2' ELSE CAST(p_partkey AS VARCHAR) END AS family,
+           CASE WHEN p_size % 4 = 0 THEN '__UNK__' ELSE p_brand END || '|' || p_type || '|__UNK__' AS segment,
+           CASE WHEN p_size % 10 >= 7 THEN '近7天' WHEN p_size % 10 > 0 THEN '近' || (p_size % 10) || '天' END AS streak,
+           CASE WHEN length(trim(p_name || ' ' || p_brand)) > 12 THEN substr(trim(p_name || ' ' || p_brand), 1, 12) || '…'
+                ELSE trim(p_name || ' ' || p_brand) END AS label,
+           round(CASE WHEN p_size - 3 > 0 THEN least(1.0, p_retailprice / 777 / (p_size - 3)) ELSE 0 END, 6) AS penalty FROM part""")
+def p_sql_functions(spark, sf):
+    """The rules called from SQL text; their bodies are inlined in the plan."""
+    register_functions(spark, (("#1 ", "FAM1"), ("#2 ", "FAM2")))
+    return spark.sql("""
+        SELECT p_partkey, settle_business_id(concat(p_partkey, '.0')) AS business,
+               settle_number(CASE p_size % 3 WHEN 0 THEN concat(' ', p_retailprice, ' ') WHEN 1 THEN 'n/a' ELSE 'NaN' END) AS amount,
+               settle_family(CAST(p_partkey AS STRING), concat(p_brand, ' ')) AS family,
+               settle_segment(CASE WHEN p_size % 4 <> 0 THEN p_brand END, p_type, NULL) AS segment,
+               settle_streak_label(CAST(p_size % 10 AS INT)) AS streak, settle_label(p_name, p_brand, 12) AS label,
+               round(settle_capacity_penalty(CAST(p_retailprice AS DOUBLE) / 777, CAST(p_size - 3 AS DOUBLE)), 6) AS penalty
+        FROM {part}""", part=tables.table(spark, sf, "part"))
