@@ -150,33 +150,35 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
                  text_col: str = "text", limit: int = 2048) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of every row; new texts' counts are appended to ``cache_path``.
 
-    Only ids and digests are shuffled to find the distinct misses (one row id stands for each, by a minimum that is
-    combined before the shuffle); texts move once, each to the task of its own row id, so that thousands of copies of one
-    text do not meet. Two runs that append the same text at once leave two equal rows; the reader takes one.
+    Only ids and digests are shuffled to find the distinct misses (one row stands for each, by a minimum that is combined
+    before the shuffle); texts move once, each to the task of its own row, so that thousands of copies of one text do not
+    meet. A row is named by its id and the hash of its text, so rows with null or shared ids are as any others. Two runs that append the same text at once leave two equal rows; the reader takes one.
     """
     from settlerank.session import cut_lineage
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"),
+                       F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_tag"))
 
     def measure(batches):
         for batch in parts(batches):
             texts = plain(batch.column(1)).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([content_digest(t, version) for t in texts], pa.binary()),
-                 pa.array([len(t) for t in texts], pa.int64())], ["_id", "digest", "n_bytes"])
+                [batch.column(0), batch.column(2), pa.array([content_digest(t, version) for t in texts], pa.binary()),
+                 pa.array([len(t) for t in texts], pa.int64())], ["_id", "_tag", "digest", "n_bytes"])
 
-    keyed = cut_lineage(rows.mapInArrow(measure, f"_id {kind}, digest binary, n_bytes long"), "digests")
-    first = (keyed.groupBy("digest").agg(F.min("_id").alias("_id"))
-             .join(count_table(spark, cache_path), "digest", "left_anti").withColumnRenamed("_id", "_first"))
-    misses = rows.join(first, F.col("_id").eqNullSafe(F.col("_first"))).select("digest", "_text")
+    keyed = cut_lineage(rows.mapInArrow(measure, f"_id {kind}, _tag long, digest binary, n_bytes long"), "digests")
+    first = (keyed.groupBy("digest").agg(F.min(F.struct("_id", "_tag")).alias("_first"))
+             .join(count_table(spark, cache_path), "digest", "left_anti"))
+    same_row = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_tag") == F.col("_first._tag"))
+    misses = rows.join(first, same_row).select("digest", "_text")
 
     def encode(batches):
         words = encoder(tokenizer_path)
         for batch in parts(batches, 500):
             texts = plain(batch.column(1))
-            # another row with this id may have another text
+            # another row with this id and hash may have another text, however unlikely
             same = [content_digest(t, version) == d for t, d in
                     zip(texts.cast(pa.binary()).to_pylist(), batch.column(0).to_pylist())]
             counts = [sum(c) for c in words.encode(texts.filter(pa.array(same)).to_pylist())]

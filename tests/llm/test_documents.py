@@ -284,3 +284,14 @@ def test_edge_rows(edge, nothing, spark, tmp_path):
 def test_empty_benchmark(edge, spark):
     from settlerank.llm.seeds import find_contamination
     assert find_contamination(edge, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_token_counts_of_many_rows_without_an_id(spark, documents):
+    """Rows with null or shared ids are looked up one by one, not all with all."""
+    import time
+    from settlerank.llm.queries import tokenizer
+    from settlerank.llm.tokens import new_cache, token_counts
+    rows = [(None if i % 2 else 5, f"text number {i} of {i * 7}", "en", "s", 1) for i in range(20_000)]
+    start = time.time()
+    found = token_counts(documents(rows), tokenizer("word_bpe_49k.json"), new_cache(spark)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in found} == {None: 10_000, 5: 10_000} and time.time() - start < 60
