@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame
 
 from settlerank.llm.arrays import parts, plain
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-                     re.DOTALL)
+#: Nothing here is read again: a failed tag ends at the next ``<``, and a quote without a partner is a letter like others.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
+                     r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _BLANK = re.compile(r"\s+")
 
@@ -52,6 +54,7 @@ _NAMED = re.compile(
     r"search|tags|skip|respond|replies|reactions|complementary|contentinfo|banner|dialog|form)(?:$|[\s_-])", re.I)
 #: Link density from which a block beside the main text is no part of it.
 _LINKED = 0.25
+_HEADER = re.compile(r"(?:^|(?<=[_-]))header(?=$|[_-])", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|post|entry|story|text)(?:$|[\s_-])", re.I)
 _SCOPE = {"table", "td", "th", "body", "html", "article", "section", "main", "div", "aside", "nav", "header", "footer",
           "form", "blockquote", "figure", "details"}
@@ -66,8 +69,23 @@ class Node:
         self.score = None
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, float]:
-    """Whether an element is left out for its attributes, and its head start."""
+def _unwanted(value: str, inside: bool) -> bool:
+    """Whether a class or id names a part that is no text of the article.
+
+    A name by itself does (``comments``), and so does one in a longer word (``post-comments``), unless another word names the text alone
+    (``content has-sidebar``). The header of a part inside the article belongs to it (``entry-header``).
+    """
+    words = value.split()
+    named = [w for w in words if _NAMED.search(w)]
+    if any(_NAMED.fullmatch(w) for w in named):
+        return True
+    if any(_BODY.search(w) for w in words if w not in named):
+        return False
+    return any(not (inside and _BODY.search(w) and not _NAMED.search(_HEADER.sub("", w))) for w in named)
+
+
+def _named(tag: str, attributes: str, inside: bool = False) -> tuple[bool, float]:
+    """Whether an element is left out for its attributes, and its head start. ``inside``: of an article or main element."""
     weight = 25.0 if tag in ("article", "main") else 0.0
     if not attributes or tag in ("html", "body"):
         return False, weight
@@ -76,17 +94,47 @@ def _named(tag: str, attributes: str) -> tuple[bool, float]:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
             dropped = True
-        elif name in ("class", "id", "role"):
-            if _NAMED.search(value) and not (tag in ("article", "main") or _BODY.search(value) and name != "role"):
+        elif name in ("class", "id", "role") and tag not in ("article", "main"):
+            if _unwanted(value, inside) if name != "role" else _NAMED.search(value):
                 dropped = True
             elif _BODY.search(value):
                 weight = max(weight, 15.0)
+        elif name in ("class", "id") and _BODY.search(value):
+            weight = max(weight, 15.0)
     return dropped, weight
 
 
+class _Open:
+    """How often each tag is open, in the whole page and since the last element that inline tags do not reach over."""
+
+    def __init__(self):
+        self.tags: Counter = Counter()
+        self.scopes: list[Counter] = [Counter()]
+
+    def enter(self, node: Node) -> Node:
+        self.tags[node.tag] += 1
+        if node.tag in _SCOPE:
+            self.scopes.append(Counter())
+        self.scopes[-1][node.tag] += 1
+        return node
+
+    def leave(self, node: Node, to: Node) -> Node:
+        """Everything from ``node`` up to its ancestor ``to`` is closed; each element is once in its life."""
+        while node is not to:
+            self.tags[node.tag] -= 1
+            self.scopes[-1][node.tag] -= 1
+            if node.tag in _SCOPE:
+                self.scopes.pop()
+            node = node.parent
+        return to
+
+    def can_close(self, tag: str) -> bool:
+        return (self.tags if tag in _BLOCK else self.scopes[-1])[tag] > 0
+
+
 def parse(page: str) -> Node:
     root = Node("#root", None)
-    node, at, size = root, 0, len(page)
+    node, at, size, held = root, 0, len(page), _Open()
     while at < size:
         m = _MARKUP.search(page, at)
         start = m.start() if m else size
@@ -100,35 +148,26 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = _close(node, tag)
+            if held.can_close(tag):
+                node = held.leave(node, _close(node, tag))
             continue
-        if tag in _BLOCK:
-            node = _open_paragraph(node)
-        if tag in _ENDS:
-            node = _end_before(node, _ENDS[tag])
-        dropped, weight = _named(tag, m[3])
-        child = Node(tag, node, dropped or tag in _NEVER or tag in _RAW
-                     or tag == "header" and not _inside(node, ("article", "main")), weight)
+        if tag in _BLOCK and held.scopes[-1]["p"]:
+            node = held.leave(node, _open_paragraph(node))
+        if tag in _ENDS and any(held.tags[t] for t in _ENDS[tag]):
+            node = held.leave(node, _end_before(node, _ENDS[tag]))
+        inside = held.tags["article"] + held.tags["main"] > 0
+        dropped, weight = _named(tag, m[3], inside)
+        child = Node(tag, node, dropped or tag in _NEVER or tag in _RAW or tag == "header" and not inside, weight)
         node.children.append(child)
         if tag in _RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
             close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else size
-        elif tag not in _VOID and not m[3].endswith("/"):
-            node = child
-        elif tag not in _VOID and tag in _BLOCK:
-            node = child
+        elif tag not in _VOID and (not m[3].endswith("/") or tag in _BLOCK):
+            node = held.enter(child)
     return root
 
 
-def _inside(node: Node, tags: tuple) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def _open_paragraph(node: Node) -> Node:
     """A block ends a paragraph that is open, with the inline elements in it."""
     up = node

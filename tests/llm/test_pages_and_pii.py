@@ -310,3 +310,30 @@ def test_model_blocks_unwanted_hosts_of_the_pages(spark, seed_features):
     unwanted = lambda r: bool(set(re.split(r"[.-]", r["host"])) & set(SEEDS))
     assert sum(map(unwanted, rows)) > 50
     assert all((r["verdict"] == "block") == unwanted(r) for r in rows)
+
+
+def test_broken_markup_is_read_once():
+    import time
+    from settlerank.llm.html import main_text
+    n = 1 << 20
+    pages = ["<a " * (n // 3) + '"', "</b>" * (n // 4), "<span>" * (n // 12) + "</b>" * (n // 8), "<b><div>" + "<span>" * (n // 12) + "</b>" * (n // 8),
+             "<ul>" * (n // 4), "<p><i>" * (n // 6), '<a href="x>' * (n // 11), "<a '" * (n // 4) + '"', "<header>" * (n // 8), "<" * n,
+             "<td>" * (n // 4), "<!-- " * (n // 5), "<li><span>" * (n // 10) + "</li>" * (n // 10), "<p>a</p>" * (n // 8)]
+    for page in pages:
+        start = time.time()
+        main_text(page)
+        assert time.time() - start < 8, page[:20]                    # about 1 s; machines under load take longer
+
+
+def test_parts_named_after_the_article_are_dropped():
+    from settlerank.llm.html import main_text
+    words = "<p>" + "A sentence of the article, with a comma, and some more words to it. " * 4 + "</p>"
+    for name in ("article-comments", "post-comments", "main-menu", "content-sidebar", "story-share", "comments", "widget text", "entry-footer"):
+        for kind in ("class", "id"):
+            page = f'<body><article>{words}<section {kind}="{name}"><p>Not part of it, as it is by readers, or menus.</p></section>{words}</article></body>'
+            assert "Not part" not in main_text(page) and main_text(page).count("sentence") == 8, (name, kind)
+    for name in ("content has-sidebar", "entry-header", "post-body", "article-text no-comments", "main-content with-menu"):
+        page = f'<body><article>{words}<div class="{name}"><p>This is part, of it, as any text of the article would be.</p></div>{words}</article></body>'
+        assert "This is part" in main_text(page), name
+    page = f'<body><div class="main-header"><p>The site, its name, and a slogan for it.</p></div><article>{words}</article></body>'
+    assert "slogan" not in main_text(page)
