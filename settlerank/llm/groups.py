@@ -10,6 +10,8 @@ from settlerank.session import cut_lineage
 
 #: Members of a key's largest group that those outside it meet.
 MORE_PIVOTS = 4
+#: A node's smallest keys, by which the last join tells at which of several common keys a pair is given out.
+LOW_KEYS = 8
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -63,9 +65,10 @@ def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame], tr
     ``verify`` gives those of the distinct pairs (a, b) that link. First each node meets the pivot of its keys, so a list
     costs its length. Then those outside their key's largest group meet a few pseudo-random members of it, which joins most
     of a large group whose pivot lies at its rim. At last members of one key that are still in different groups meet: those
-    outside the key's largest group all others. A pair that is left out lies in one group already, so these are the groups
-    of all links. ``traits`` has a row of short columns for each node, and ``may_link`` a condition on those of two nodes
-    that every link meets; the last join tests it before it gives out a pair.
+    outside the key's largest group all others, each pair at one key if they share one of their smallest. A pair that is
+    left out lies in one group already, so these are the groups of all links. ``traits`` has a row of short columns for each
+    node, and ``may_link`` a condition on those of two nodes that every link meets; the last join tests it before it gives
+    out a pair.
     """
     tried = cut_lineage(live.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
                         .distinct(), "pivot-pairs")
@@ -85,6 +88,7 @@ def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame], tr
         groups = cut_lineage(connected_groups(links), "groups")
         placed = _mixed_keys(live, groups)
 
+    traits = traits.join(placed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LOW_KEYS).alias("low")), "node")
     names = [c for c in traits.columns if c != "node"]
     of = lambda side: {c: F.col(f"{side}_{c}") for c in names}
     placed = placed.join(traits, "node")
@@ -92,7 +96,9 @@ def groups_of_keys(live: DataFrame, verify: Callable[[DataFrame], DataFrame], tr
                                              *[F.col(c).alias(f"x_{c}") for c in names])
     y = placed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), "main", *[F.col(c).alias(f"y_{c}") for c in names])
     apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") > F.col("b")))
-    more = (x.join(y, (x["key"] == y["key"]) & apart & may_link(of("x"), of("y")))
+    # nodes that share several keys mostly share one of their smallest; of these the least gives the pair, the others not again
+    once = ~F.arrays_overlap("x_low", "y_low") | (x["key"] == F.array_min(F.array_intersect("x_low", "y_low")))
+    more = (x.join(y, (x["key"] == y["key"]) & apart & may_link(of("x"), of("y")) & once)
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
     others = cut_lineage(verify(cut_lineage(more, "other-pairs")), "other-links")
