@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from settlerank.functions import any_of, has_prefix, ratio_or_null, share_flag
@@ -58,6 +61,32 @@ def stratified(hit_rows: DataFrame, prefix: str = "ant") -> DataFrame:
                         F.round(F.col("h1") * 100, 2).alias("hit1_pct"), F.round(F.col("h3") * 100, 2).alias("hit3_pct"))
 
 
+def strata(rows: DataFrame, dims: Sequence[str], aggs: Sequence[Column], domains: Mapping[str, Sequence[str]] | None = None,
+           count: str = "n", every: str = "all") -> DataFrame:
+    """Aggregates for every combination of ``dims`` and of ``every`` in their place, from one Expand and one shuffle.
+
+    A stratum is told by its grouping id, so a null value is a stratum of its own (null) and not the total. With ``domains``
+    (fixed values of some of the columns) strata of these values that have no row are kept with a ``count`` of 0.
+    """
+    text = rows.withColumns({d: F.col(d).cast("string") for d in dims})
+    sets = [[d for i, d in enumerate(dims) if mask >> i & 1] for mask in range(1 << len(dims))]
+    found = text.groupingSets([[F.col(d) for d in one] for one in sets], *[F.col(d) for d in dims]).agg(
+        F.count("*").alias(count), *aggs, *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    found = found.withColumns({d: F.when(F.col(f"_g_{d}") == 1, F.lit(every)).otherwise(F.col(d)) for d in dims}).drop(
+        *[f"_g_{d}" for d in dims])
+    if not domains:
+        return found
+    known = [d for d in dims if d not in domains]
+    whole = found.select(*known).distinct() if known else found.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    for d, values in domains.items():
+        whole = whole.withColumn(d, F.explode(F.array(*[F.lit(v) for v in [*values, every]])))
+    left, right = whole.alias("w"), found.alias("f")
+    same = reduce(lambda a, b: a & b, [F.col(f"w.{d}").eqNullSafe(F.col(f"f.{d}")) for d in dims])
+    return left.join(right, same, "full").select(*[F.coalesce(f"w.{d}", f"f.{d}").alias(d) for d in dims],
+                                                 F.coalesce(f"f.{count}", F.lit(0)).alias(count),
+                                                 *[F.col(f"f.`{c}`") for c in found.columns if c not in (*dims, count)])
+
+
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Align two hit tables by node: both first choices, both hit flags, same-first flag."""
     left = a.select("node_id", "true_best", F.col("top1").alias("a_top1"), F.col("hit1").alias("a_hit1"),

@@ -398,3 +398,18 @@ def a34_bitmaps(spark, sf):
     every = daybits.merged_counts(stored, ["business"], name="n_nodes")
     part = daybits.merged_counts(stored, ["business"], some, "n_some_days")
     return every.join(part, "business", "left").select("business", "n_nodes", F.coalesce("n_some_days", F.lit(0)).alias("n_some_days"))
+
+
+@query("q_a18_grouping_sets", twin("""
+    ,h AS (SELECT CASE WHEN starts_with(node_id, '1') THEN 'prefix' ELSE 'other' END AS side, true_best, hit1, hit3 FROM hits_off),
+    sides AS (SELECT unnest(['prefix', 'other', 'none', 'all']) AS side), bests AS (SELECT DISTINCT true_best FROM h UNION ALL SELECT 'all')
+    SELECT s.side, b.true_best, count(h.side) AS n, round(avg(hit1) * 100, 2) AS hit1_pct, round(avg(hit3) * 100, 2) AS hit3_pct
+    FROM sides s CROSS JOIN bests b LEFT JOIN h ON (s.side = 'all' OR h.side = s.side) AND (b.true_best = 'all' OR h.true_best = b.true_best)
+    GROUP BY 1, 2""", "hits_off"))
+def a18_sets(spark, sf):
+    """Hit rates by side and true best and all their totals, one aggregate; strata without a row are kept."""
+    flow = flow_of(spark, sf)
+    rows = evaluation.hits(flow.recs("score_off"), flow.truth).withColumn(
+        "side", F.when(F.col("node_id").startswith("1"), "prefix").otherwise("other"))
+    rates = [F.round(F.avg(c) * 100, 2).alias(f"{c}_pct") for c in ("hit1", "hit3")]
+    return evaluation.strata(rows, ["side", "true_best"], rates, {"side": ["prefix", "other", "none"]})
